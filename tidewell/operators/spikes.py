@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import lanes
 
 #: Weights of the newest reading in mean and scale; scales at which a reading is suspected; scales to which it is clipped.
-MEAN_WEIGHT, SCALE_WEIGHT, SUSPECT, CLIP = 0.6, 0.05, 3.0, 1.0
+MEAN_WEIGHT, SCALE_WEIGHT, SUSPECT, CLIP = 0.6, 0.05, 2.5, 1.0
 EXCURSION, STUCK = 3, 5
 #: Median changes: by which a spike leaves; below which readings hardly differ.
 LEAVES, ALIKE = 10.0, 0.05

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import runs, sketch
+from tidewell.llm import bpe, packing, runs, sketch
 from tidewell.queries import CURRENT, table
 
 
@@ -18,9 +18,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.collapse_runs(table(spark, sf_dir, "points_bool")).select("sid", "start_clock", "end_clock", "n_points")
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p4_found": p4_found,
+    "p7_ids": p7_ids,
+    "p8_containers": p8_containers,
 }
 
 SQL: dict[str, str] = {

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import bpe, packing, runs, sketch
+from tidewell.llm import bpe, packing, reading, runs, sketch
 from tidewell.queries import CURRENT, table
 
 
@@ -26,11 +26,21 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.demanding(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_samples"))
+
+
+def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.profile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_samples"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p4_found": p4_found,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p9_profile": p9_profile,
 }
 
 SQL: dict[str, str] = {

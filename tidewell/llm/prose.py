@@ -3,26 +3,25 @@
 from __future__ import annotations
 
 import html
-
-import regex
+import re
 
 #: Words of a window of sentences that is graded as one.
 WINDOW_WORDS = 60
-FENCED = regex.compile(r"(?ms)^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[ \t]*$|\Z)")
-BLOCKS = regex.compile(r"(?is)<(pre|code|blockquote|script|style|table)\b[^>]*>.*?(?:</\1\s*>|\Z)")
-BREAKS = regex.compile(r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|hr|tr|td)\b[^>]*>")
-TAGS = regex.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", regex.S)
-LINKS = regex.compile(r"!?\[([^\[\]]*)\]\([^()\s]*\)|\[([^\[\]]*)\]\[[^\[\]]*\]")
-ADDRESS = regex.compile(r"(?i)\b(?:https?|ftp)://\S+|\bwww\.\S+|\S+@\S+\.\S+")
-INLINE_CODE = regex.compile(r"`[^`\n]*`")
-LOG = regex.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d:\d\d)|\b(?:ERROR|WARN|INFO|DEBUG|TRACE)\b.*[:=]|^\s*(?:at\s+[\w.$]+\(|Traceback|File \")")
-CODE = regex.compile(
+FENCED = re.compile(r"(?ms)^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[ \t]*$|\Z)")
+BLOCKS = re.compile(r"(?is)<(pre|code|blockquote|script|style|table)\b[^>]*>.*?(?:</\1\s*>|\Z)")
+BREAKS = re.compile(r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|hr|tr|td)\b[^>]*>")
+TAGS = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
+LINKS = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*\)|\[([^\[\]]*)\]\[[^\[\]]*\]")
+ADDRESS = re.compile(r"(?i)\b(?:https?|ftp)://\S+|\bwww\.\S+|\S+@\S+\.\S+")
+INLINE_CODE = re.compile(r"`[^`\n]*`")
+LOG = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d:\d\d)|\b(?:ERROR|WARN|INFO|DEBUG|TRACE)\b.*[:=]|^\s*(?:at\s+[\w.$]+\(|Traceback|File \")")
+CODE = re.compile(
     r"[;{}]\s*$|^\s*[{}()\[\]]+\s*$|^\s*(?:def|class|import|from\s+\S+\s+import|return|public|private|static|void|var|let|const|function|#include|if\s*\(|for\s*\(|while\s*\(|else\b\s*[:{]|\}|@\w+|\$\s|>>>|//|/\*|#!)"
     r"|^\s*(?:SELECT|FROM|WHERE|GROUP BY|ORDER BY|INSERT|UPDATE|DELETE|CREATE|JOIN|HAVING)\b|==|!=|&&|\|\||->|=>|\w\(\w*(?:,\s*\w+)*\)\s*[;:{]|^\s*[\w.\[\]]+\s*=\s*\S"
 )
-SIGNS = regex.compile(r"[{}\[\]<>|=;_\\^~*/]")
-WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’]\p{L}+)*")
-SENTENCE = regex.compile(r"(?<=[.!?…])[\"'”’)]*\s+(?=[\p{Lu}\p{N}\"'“‘(])")
+SIGNS = re.compile(r"[{}\[\]<>|=;_\\^~*/]")
+WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+(?=[A-ZÀ-ÞА-Я0-9\"'“‘(])")
 #: Frequent function words of English, and of other languages in Latin script without words they share with English.
 ENGLISH = frozenset(
     "the of and to a in is it that was for on are with as be this have from or had by not but what all were when we there can an your which their if will each about how up out them then she many some so these would other into has her him see than its who now my over did down only way could may been any new where most after before also through just because should such one you they i he at do no me our".split()
@@ -37,18 +36,36 @@ FOREIGN = frozenset(
 )
 
 
+#: A line without any of these is prose, unless it begins as code does.
+SIGNAL = re.compile(r"[;{}\[\]<>|=_\\^~*/()$@&:]|\d\d")
+CODE_STARTS = frozenset("def class import from return public private static void var let const function SELECT FROM WHERE GROUP ORDER INSERT UPDATE DELETE CREATE JOIN HAVING Traceback else".split())
+INVISIBLE = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad")) | dict.fromkeys(map(ord, "\u00a0\u2009\u202f"), " ")
+ITEM = re.compile(r"^(?:[-*+•]|\d+[.)]|#{1,6})\s+")
+
+
 def plain_text(text: str) -> str:
     """The lines of prose of a text, paragraphs kept apart by empty lines."""
-    t = text.replace("\r\n", "\n").replace("\r", "\n").replace("\u2028", "\n").replace("\u2029", "\n\n")
-    t = FENCED.sub("\n\n", t)
-    t = BLOCKS.sub("\n\n", t)
-    t = BREAKS.sub("\n\n", t)
-    t = TAGS.sub(" ", t)
-    t = html.unescape(t)
-    t = LINKS.sub(lambda m: f" {m[1] or m[2] or ''} ", t)
-    t = ADDRESS.sub(" ", t)
-    t = INLINE_CODE.sub(" ", t)
-    t = regex.sub(r"[\u200b-\u200f\u2060\ufeff\u00ad]", "", t).replace("\u00a0", " ").replace("\u2009", " ").replace("\u202f", " ")
+    t = text.replace("\r\n", "\n").replace("\r", "\n")
+    plain = t.isascii()
+    if not plain:
+        t = t.replace("\u2028", "\n").replace("\u2029", "\n\n")
+    if "```" in t or "~~~" in t:
+        t = FENCED.sub("\n\n", t)
+    if "<" in t:
+        t = BLOCKS.sub("\n\n", t)
+        t = BREAKS.sub("\n\n", t)
+        t = TAGS.sub(" ", t)
+    if "&" in t:
+        t = html.unescape(t)
+        plain = t.isascii()
+    if "](" in t or "][" in t:
+        t = LINKS.sub(lambda m: f" {m[1] or m[2] or ''} ", t)
+    if "://" in t or "www." in t or "@" in t:
+        t = ADDRESS.sub(" ", t)
+    if "`" in t:
+        t = INLINE_CODE.sub(" ", t)
+    if not plain:
+        t = t.translate(INVISIBLE)
     out = []
     for line in t.split("\n"):
         s = line.strip()
@@ -57,12 +74,13 @@ def plain_text(text: str) -> str:
             continue
         if line.startswith(("    ", "\t", " \t")) or s.startswith((">", "|", "```", "~~~")) or s.endswith("|"):
             continue
-        if LOG.search(line) or CODE.search(line):
-            continue
-        letters = sum(map(len, WORD.findall(s)))
-        if letters < 0.5 * len(s.replace(" ", "")) or len(SIGNS.findall(s)) > 0.08 * len(s):
-            continue
-        out.append(regex.sub(r"^(?:[-*+•]|\d+[.)]|#{1,6})\s+", "", s))
+        if SIGNAL.search(s) or s.split(None, 1)[0] in CODE_STARTS:
+            if LOG.search(line) or CODE.search(line):
+                continue
+            letters = sum(map(str.isalpha, s))
+            if letters < 0.5 * (len(s) - s.count(" ")) or len(SIGNS.findall(s)) > 0.08 * len(s):
+                continue
+        out.append(ITEM.sub("", s))
     return "\n".join(out)
 
 
@@ -80,7 +98,7 @@ def windows(text: str, least: int = WINDOW_WORDS) -> list[tuple[list[str], list[
     out: list[tuple[list[str], list[list[str]], bool]] = []
     held: tuple[list[str], list[list[str]], bool] | None = None
     size = 0
-    for paragraph in regex.split(r"\n\s*\n", plain_text(text)):
+    for paragraph in re.split(r"\n\s*\n", plain_text(text)):
         split = sentences(paragraph)
         words = [WORD.findall(s) for s in split]
         low = [w.lower().replace("’", "'") for ws in words for w in ws]

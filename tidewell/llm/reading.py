@@ -7,13 +7,12 @@ of its windows' grades, weighted by words, so that most of the prose decides.
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +23,7 @@ LEAST_WORDS = 20
 MOST_SAMPLES = 20_000
 #: Words of the windows that the samples are cut into, one cut after the other.
 TRAINED_ON = (25, 40, 60, 90, 130)
-VOWELS = regex.compile(r"[aeiouy]+")
+VOWELS = re.compile(r"[aeiouy]+")
 #: Endings of learned words, and words that join clauses or sentences.
 LEARNED = ("tion", "sion", "ity", "ism", "ness", "ment", "ance", "ence", "ical", "ious", "eous", "ially", "ally", "ively", "ology", "isation", "ization", "ability", "ous", "ive", "ate")
 SUBORDINATE = frozenset("which whose whom that although though because unless whereas while whether if until since insofar inasmuch provided where when lest notwithstanding".split())
@@ -35,35 +34,93 @@ PASSIVE = frozenset("is are was were be been being".split())
 CLOSED = prose.ENGLISH | SUBORDINATE | CONNECT | PERSON | PASSIVE
 
 
-def features(sentence: list[str], words: list[list[str]]) -> list[float]:
-    """Of one window of sentences."""
-    low = [[w.lower() for w in ws] for ws in words]
-    flat = [w for ws in low for w in ws]
-    n = len(flat)
-    size = np.array([len(w) for w in flat])
-    length = np.array([len(ws) for ws in low])
-    syllables = np.array([max(1, len(VOWELS.findall(w[:-1] if w.endswith("e") else w))) for w in flat])
-    content = [w for w in flat if w not in CLOSED]
-    csize = np.array([len(w) for w in content]) if content else np.zeros(1)
-    text = " ".join(sentence)
-    count = Counter(flat)
-    sets = [{w for w in ws if w not in CLOSED} for ws in low]
-    shared = [len(a & b) / (len(a | b) or 1) for a, b in zip(sets, sets[1:])]
-    clauses = text.count(",") + text.count(";") + text.count(":") + text.count(" - ") + text.count("—")
-    learned = np.array([len(w) >= 7 and w.endswith(LEARNED) for w in content]) if content else np.zeros(1)
-    depth = [sum(w in SUBORDINATE for w in ws) for ws in low]
-    return [
-        np.log(n), size.mean(), np.median(size), size.std(), (size >= 7).mean(), (size >= 10).mean(), (size >= 12).mean(), np.quantile(size, 0.9),
-        syllables.mean(), (syllables >= 3).mean(), (syllables >= 4).mean(), (syllables >= 5).mean(),
-        csize.mean(), np.median(csize), np.quantile(csize, 0.25), np.quantile(csize, 0.75), learned.mean(),
-        length.mean(), np.median(length), length.max(), length.min(), length.std(),
-        clauses / n, clauses / len(low), max(s.count(",") for s in sentence),
-        sum(w in SUBORDINATE for w in flat) / n, max(depth), float(np.mean(depth)), sum(w in CONNECT for w in flat) / n,
-        sum(w in SIMPLE_JOIN for w in flat) / n, sum(w in PERSON for w in flat) / n, sum(w in PASSIVE for w in flat) / n,
-        len(content) / n, len(count) / n, count["the"] / n, count["of"] / n, (count["a"] + count["an"]) / n, count["which"] / n, count["that"] / n,
-        text.count("?") / len(low), float(np.mean(shared)) if shared else 0.0, sum(w.endswith("ly") for w in flat) / n, (size <= 3).mean(),
-        206.835 - 1.015 * length.mean() - 84.6 * syllables.mean(), 0.39 * length.mean() + 11.8 * syllables.mean() - 15.59,
-    ]
+CONTENT, LEARN, SUB, CON, JOIN, PERS, PASS, THE, OF, A, WHICH, THAT, LY = (1 << k for k in range(13))
+
+
+def word_kind(w: str) -> tuple[int, int, int]:
+    """Length, syllables and kinds of a word in lower case."""
+    content = w not in CLOSED
+    kinds = (
+        CONTENT * content | LEARN * (content and len(w) >= 7 and w.endswith(LEARNED)) | SUB * (w in SUBORDINATE) | CON * (w in CONNECT) | JOIN * (w in SIMPLE_JOIN)
+        | PERS * (w in PERSON) | PASS * (w in PASSIVE) | THE * (w == "the") | OF * (w == "of") | A * (w in ("a", "an")) | WHICH * (w == "which") | THAT * (w == "that") | LY * w.endswith("ly")
+    )
+    return len(w), max(1, len(VOWELS.findall(w[:-1] if w.endswith("e") else w))), kinds
+
+
+def quantile(value: np.ndarray, first: np.ndarray, n: np.ndarray, q: float) -> np.ndarray:
+    """Of values sorted within groups that begin at first and have n members; 0 for an empty group."""
+    if not len(value):
+        return np.zeros(len(n))
+    at = q * np.maximum(n - 1, 0)
+    low = np.minimum(first + at.astype(np.int64), len(value) - 1)
+    high = np.minimum(first + np.ceil(at).astype(np.int64), len(value) - 1)
+    return np.where(n > 0, value[low] + (value[high] - value[low]) * (at - np.floor(at)), 0.0)
+
+
+def features(windows: list[tuple[list[str], list[list[str]]]]) -> np.ndarray:
+    """One row for each window of sentences; all windows together, as columns of words and sentences."""
+    g = len(windows)
+    ids: dict[str, int] = {}
+    word = np.array([ids.setdefault(w.lower(), len(ids)) for _, words in windows for ws in words for w in ws], np.int64)
+    kinds = np.array([word_kind(w) for w in ids], np.int64)
+    size, syllables, kind = (kinds[word, k] for k in range(3))
+    n_sent = np.array([len(words) for _, words in windows])
+    sent_win = np.repeat(np.arange(g), n_sent)
+    length = np.array([len(ws) for _, words in windows for ws in words])
+    sent = np.repeat(np.arange(len(length)), length)
+    win = sent_win[sent]
+    n = np.bincount(win, minlength=g)
+    first, first_sent = np.cumsum(n) - n, np.cumsum(n_sent) - n_sent
+
+    def mean(x: np.ndarray) -> np.ndarray:
+        return np.bincount(win, x, g) / n
+
+    def share(k: int) -> np.ndarray:
+        return mean((kind & k) > 0)
+
+    def deviation(x: np.ndarray, m: np.ndarray, group: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.bincount(group, (x - m[group]) ** 2, g) / count)
+
+    ordered = size[np.lexsort((size, win))].astype(float)
+    content = (kind & CONTENT) > 0
+    c_win, c_size = win[content], size[content].astype(float)
+    c_n = np.bincount(c_win, minlength=g)
+    c_first = np.cumsum(c_n) - c_n
+    c_ordered = c_size[np.lexsort((c_size, c_win))]
+    c_some = np.maximum(c_n, 1)
+    l_ordered = length[np.lexsort((length, sent_win))].astype(float)
+    size_mean, length_mean, syllables_mean = mean(size), np.bincount(sent_win, length, g) / n_sent, mean(syllables)
+    depth = np.bincount(sent, (kind & SUB) > 0, len(length))
+
+    # content words that neighbouring sentences share, as a part of those of either
+    distinct = np.unique(sent[content] * np.int64(len(ids)) + word[content]) if len(ids) else np.zeros(0, np.int64)
+    d_sent = distinct // max(1, len(ids))
+    per_sent = np.bincount(d_sent, minlength=len(length))
+    both = np.bincount(np.intersect1d(distinct + len(ids), distinct, assume_unique=True) // max(1, len(ids)), minlength=len(length))[: len(length)]
+    later = np.r_[False, sent_win[1:] == sent_win[:-1]]
+    either = np.maximum(per_sent + np.r_[0, per_sent[:-1]] - both, 1)
+    shared = np.bincount(sent_win, np.where(later, both / either, 0), g) / np.maximum(n_sent - 1, 1)
+    types = np.bincount(np.unique(win * np.int64(max(1, len(ids))) + word) // max(1, len(ids)), minlength=g)
+
+    joined = [" ".join(s) for s, _ in windows]
+    commas = np.array([max(x.count(",") for x in s) for s, _ in windows])
+    clauses = np.array([t.count(",") + t.count(";") + t.count(":") + t.count(" - ") + t.count("—") for t in joined])
+    asked = np.array([t.count("?") for t in joined])
+    return np.stack(
+        [
+            np.log(n), size_mean, quantile(ordered, first, n, 0.5), deviation(size, size_mean, win, n), mean(size >= 7), mean(size >= 10), mean(size >= 12), quantile(ordered, first, n, 0.9),
+            syllables_mean, mean(syllables >= 3), mean(syllables >= 4), mean(syllables >= 5),
+            np.bincount(c_win, c_size, g) / c_some, quantile(c_ordered, c_first, c_n, 0.5), quantile(c_ordered, c_first, c_n, 0.25), quantile(c_ordered, c_first, c_n, 0.75), np.bincount(win, (kind & LEARN) > 0, g) / c_some,
+            length_mean, quantile(l_ordered, first_sent, n_sent, 0.5), quantile(l_ordered, first_sent, n_sent, 1.0), quantile(l_ordered, first_sent, n_sent, 0.0), deviation(length, length_mean, sent_win, n_sent),
+            clauses / n, clauses / n_sent, commas,
+            share(SUB), np.maximum.reduceat(depth, first_sent), np.bincount(sent_win, depth, g) / n_sent, share(CON),
+            share(JOIN), share(PERS), share(PASS),
+            c_n / n, types / n, share(THE), share(OF), share(A), share(WHICH), share(THAT),
+            asked / n_sent, shared, share(LY), mean(size <= 3),
+            206.835 - 1.015 * length_mean - 84.6 * syllables_mean, 0.39 * length_mean + 11.8 * syllables_mean - 15.59,
+        ],
+        axis=1,
+    )
 
 
 @dataclass
@@ -87,7 +144,7 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 160, depth: int = 3, rate: float = 0.08, bins: int = 32, least: float = 8.0, seed: int = 7) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 300, depth: int = 3, rate: float = 0.05, bins: int = 32, least: float = 8.0, seed: int = 7) -> Trees:
     """Least squares; each tree sees a random half of the features and four fifths of the rows."""
     n, m = x.shape
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(m)]
@@ -160,13 +217,13 @@ def train(samples: list[tuple[str | None, int | None]], folds: int = 5) -> Model
         if not t or g is None:
             continue
         for s, w in [(s, w) for size in TRAINED_ON for s, w, _ in prose.windows(t, size)]:
-            x.append(features(s, w))
+            x.append((s, w))
             y.append(float(g))
             text.append(k)
             weight.append(sum(map(len, w)))
     if not x:
         raise ValueError("no graded text with prose")
-    xs, ys, ks, ws = np.array(x), np.array(y), np.array(text), np.array(weight, float)
+    xs, ys, ks, ws = features(x), np.array(y), np.array(text), np.array(weight, float)
     ws /= ws.mean()
     raw = np.zeros(len(ys))
     of_text = np.random.default_rng(11).permutation(len(samples)) % folds  # the samples may be ordered by grade
@@ -218,14 +275,14 @@ def reading_grades(documents: DataFrame, samples: DataFrame, least_words: int =
                         n = sum(map(len, w))
                         if own:
                             english[i] += n
-                            x.append(features(s, w))
+                            x.append((s, w))
                             owner.append(i)
                             size.append(n)
                         else:
                             other[i] += n
                 grade = np.full(len(texts), np.nan)
                 if x:
-                    g, k, n = model.grade(np.array(x)), np.array(owner), np.array(size)
+                    g, k, n = model.grade(features(x)), np.array(owner), np.array(size)
                     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
                     for a, z in zip(first, np.r_[first[1:], len(k)], strict=True):
                         i = k[a]

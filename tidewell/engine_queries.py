@@ -205,7 +205,7 @@ def _(s, d):
     return merge.position_slice(events(s, d), 10, 5).select("sid", "clock", "seq")
 
 
-@query("replayed_table", f"""with w as (select seq, lower(trim(kind)) kind, sid, clock, value, quality, min_clock, max_clock from wal_entries),
+@query("replayed_table", f"""with w as (select seq, lower(trim(kind, ' ' || chr(9) || chr(10) || chr(13))) kind, sid, clock, value, quality, min_clock, max_clock from wal_entries),
 p as (select distinct sid, clock, value, quality, seq from w where kind = 'write' and value is not null and not isnan(value) qualify seq = max(seq) over (partition by sid, clock)),
 d as (select sid, seq, case when kind = 'delete' then null else min_clock end lo, case when kind = 'delete' then null else max_clock end hi from w where kind in ('delete', 'delete_range'))
 select sid, clock, value, quality, seq from p where not exists (select 1 from d where d.sid = p.sid and d.seq > p.seq and (lo is null or lo <= clock) and (hi is null or clock <= hi))""")

@@ -26,10 +26,10 @@ BUCKET_ZERO, LEVELS = 2**25, 27
 def split_changes(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Inserts (sid, clock, value, quality, seq) and deletes (sid, lo, hi, seq; null lo or hi: open).
 
-    kind counts without case and padding; other kinds, null sids and null seq are set aside, as are writes with
+    kind counts without case and padding (spaces, tabs, line ends); other kinds, null sids and null seq are set aside, as are writes with
     a null or NaN value or null clock, and inverted ranges.
     """
-    kind = F.lower(F.trim("kind"))
+    kind = F.lower(F.expr(r"trim(both ' \t\r\n' from kind)"))
     known = feed.filter("sid is not null and seq is not null")
     inserts = lanes.live(known.filter(kind == "write")).select("sid", "clock", "value", "quality", "seq")
     ranged = kind == "delete_range"

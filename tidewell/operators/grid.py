@@ -92,7 +92,7 @@ def regular_grid(points: DataFrame, registry: DataFrame, gap_limit: int = GAP_LI
                     yield out(sid[r], grid, np.ones(len(r), np.int64), value[i[r]] + slope[r] * (grid - clock[i[r]]), "filled")
                     done = upto
 
-    return lanes.lane_pass(stream, plan, block, GRID_SCHEMA, ("clock", "seq", "value"))
+    return lanes.lane_pass(stream, plan, block, GRID_SCHEMA)
 
 
 def empty_slots(points: DataFrame, registry: DataFrame, **options) -> DataFrame:

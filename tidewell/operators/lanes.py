@@ -94,10 +94,11 @@ class LanePlan:
 
 
 def reading_rows(points: DataFrame, plan: LanePlan, value: Column | None = None) -> DataFrame:
-    value = F.col("value") if value is None else value
-    return plan.with_lane(live(points)).select(
-        "sid", "lane", "clock", F.coalesce("seq", F.lit(CONFIG_CLOCK)).cast("long").alias("seq"), value.cast("double").alias("value"), F.lit(READING).cast("tinyint").alias("tag")
-    )
+    """Readings as lane rows. value: a number made from the columns of points; a null seq is below all others."""
+    number = (F.col("value") if value is None else value).cast("double")
+    # other columns are dropped first, so that their names cannot clash with those of the plan
+    bare = live(points).select("sid", "clock", F.coalesce("seq", F.lit(CONFIG_CLOCK)).cast("long").alias("seq"), number.alias("value"))
+    return plan.with_lane(live(bare)).select("sid", "lane", "clock", "seq", "value", F.lit(READING).cast("tinyint").alias("tag"))
 
 
 def config_rows(settings: DataFrame, plan: LanePlan, columns: Iterable[str]) -> DataFrame:
@@ -107,7 +108,7 @@ def config_rows(settings: DataFrame, plan: LanePlan, columns: Iterable[str]) ->
     return plan.every_lane(long).select("sid", "lane", F.lit(CONFIG_CLOCK).alias("clock"), "seq", "value", F.lit(CONFIG).cast("tinyint").alias("tag"))
 
 
-def lane_pass(rows: DataFrame, plan: LanePlan, block: Callable[[dict[str, np.ndarray]], Iterator[pa.RecordBatch]], schema: str, order: tuple[str, ...] = ("clock", "seq")) -> DataFrame:
+def lane_pass(rows: DataFrame, plan: LanePlan, block: Callable[[dict[str, np.ndarray]], Iterator[pa.RecordBatch]], schema: str, order: tuple[str, ...] = ("clock", "seq", "value")) -> DataFrame:
     """One shuffle by (sid, lane), one sort, then ``block`` over blocks of whole lanes as numpy columns."""
     rows = rows.repartition(plan.partitions(), "sid", "lane").sortWithinPartitions("sid", "lane", *order)
 

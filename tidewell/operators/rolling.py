@@ -35,7 +35,11 @@ def meter_limits(registry: DataFrame, meas: str = "meter") -> DataFrame:
 
 
 def daily_totals(points: DataFrame, limits: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(sid, day_no, total, n) of the usable current readings: those with phys_lo <= value <= phys_hi."""
+    """(sid, day_no, total, n) of the usable current readings: those with phys_lo <= value <= phys_hi.
+
+    Null and NaN values and null sids or clocks are set aside; of repeated (sid, clock) the highest seq counts (a
+    null seq is below all others; of equal seq either). Other columns are ignored; empty tables give no rows.
+    """
     rows = lookup(lanes.live(points).select("sid", "clock", "value", F.coalesce("seq", F.lit(lanes.CONFIG_CLOCK)).alias("seq")), limits, "sid", broadcast_rows)
     # max_by keeps fixed-width buffers, so both steps combine before the shuffle and stay hash aggregates
     current = rows.groupBy("sid", "clock").agg(F.max_by("value", "seq").alias("value"), F.first("phys_lo").alias("lo"), F.first("phys_hi").alias("hi"))

@@ -150,7 +150,7 @@ def implausible(points: DataFrame, registry: DataFrame, target_rows: int = lanes
         keep = (reason > 0) & ~x.halo & ~np.isnan(x.config[x.g, METER])
         yield lanes.batch(schema, x.sid[keep], x.clock[keep], x.value[keep], pa.array(REASONS).take(pa.array(reason[keep])))
 
-    return lanes.lane_pass(stream, plan, block, SCHEMA, ("clock", "seq", "value"))
+    return lanes.lane_pass(stream, plan, block, SCHEMA)
 
 
 REASONS = ["", "limit", "spike", "limit+spike", "stuck", "limit+stuck", "spike+stuck", "limit+spike+stuck"]
@@ -159,6 +159,8 @@ REASONS = ["", "limit", "spike", "limit+spike", "stuck", "limit+stuck", "spike+s
 def judge(x: lanes.Block, whole: np.ndarray) -> np.ndarray:
     """Of each reading a sum of 1 (limit), 2 (spike) and 4 (stuck). whole: lanes that hold all of their series."""
     n = len(x.g)
+    if not n:
+        return np.zeros(0, np.int64)
     lo, hi, meter = (x.config[x.g, k] for k in (LO, HI, METER))
     meter = meter == 1
     with np.errstate(invalid="ignore"):
@@ -200,7 +202,7 @@ def judge(x: lanes.Block, whole: np.ndarray) -> np.ndarray:
     between = rest[p] & (x.g[p] == x.g[first]) & rest[q] & (x.g[q] == x.g[first])
     with np.errstate(invalid="ignore"):
         stuck = (length >= STUCK) & (rate[x.g[first]] <= AGREES) & ~rest[first] & ~between
-    return limit * 1 + spike * 2 + (stuck[run] if n else stuck.astype(bool)) * 4
+    return limit * 1 + spike * 2 + stuck[run] * 4
 
 
 def split_stats(rows: DataFrame, plan: lanes.LanePlan) -> DataFrame:

@@ -51,7 +51,7 @@ SQL: dict[str, str] = {
 sl as (select distinct sid, clock - clock%step slot, step from cur join st using(sid)),
 nx as (select *, lead(slot) over (partition by sid order by slot) nxt from sl)
 select sid, unnest(range(slot+step,nxt,step)) slot_clock from nx where nxt-slot<=7*864000000000 and nxt>slot+step""",
-    "p3_found": """with w as (select seq,lower(trim(kind)) kind,sid,clock,value,min_clock,max_clock from wal_entries),
+    "p3_found": """with w as (select seq,lower(trim(kind, ' ' || chr(9) || chr(10) || chr(13))) kind,sid,clock,value,min_clock,max_clock from wal_entries),
 p as (select sid,clock,max(seq) seq from w where kind='write' and value is not null and not isnan(value) group by 1,2),
 d as (select sid,seq,case when kind='delete' then null else min_clock end lo,case when kind='delete' then null else max_clock end hi from w where kind in('delete','delete_range'))
 select sid,clock,seq from p where not exists (select 1 from d where d.sid=p.sid and d.seq>p.seq and (lo is null or lo<=clock) and (hi is null or clock<=hi))""",

@@ -12,9 +12,10 @@ from __future__ import annotations
 import heapq
 import json
 import os
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ TOKENIZERS = "/opt/tokenizers"
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words that are kept from batch to batch; beyond it the store is emptied.
 KEPT_WORDS = 300_000
+#: Characters from which a text is encoded in parts, cut between words.
+LONG_TEXT = 8_000_000
 PAIR = 1 << 20
 
 
@@ -120,6 +123,9 @@ class PairBPE:
 
     def encode(self, texts: Iterable[str | None]) -> list[list[int]]:
         """Ids of each text; of an empty or null text none."""
+        texts = list(texts)
+        if any(t and len(t) > LONG_TEXT for t in texts):
+            return [x for t in texts for x in ([self.encode_long(t)] if t and len(t) > LONG_TEXT else self.encode([t]))]
         split = [self.split(t) if t else [] for t in texts]
         known = self.words
         new = list(dict.fromkeys(w for words in split for w in words if w not in known))
@@ -134,6 +140,20 @@ class PairBPE:
         return out
 
 
+    def encode_long(self, text: str) -> list[int]:
+        """A very long text, some words at a time."""
+        found = (m.group() for m in regex.finditer(SPLIT, text))
+        out = array("i")
+        while words := list(islice(found, LONG_TEXT // 8)):
+            new = [w for w in dict.fromkeys(words) if w not in self.words]
+            if len(self.words) + len(new) > KEPT_WORDS:
+                self.words.clear()
+                new = list(dict.fromkeys(words))
+            self.words.update(zip(new, self.encode_words(new), strict=True))
+            out.extend(chain.from_iterable(map(self.words.__getitem__, words)))
+        return out
+
+
 @lru_cache(maxsize=4)
 def encoder(name: str, folder: str = TOKENIZERS) -> Callable[[Iterable[str | None]], list[list[int]]]:
     """encode(texts) of a public tokenizer, without special tokens; once in each Python worker.

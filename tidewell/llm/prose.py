@@ -12,7 +12,7 @@ BLOCKS = re.compile(r"(?is)<(pre|code|blockquote|script|style|table)\b[^>]*>.*?(
 BREAKS = re.compile(r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|hr|tr|td)\b[^>]*>")
 TAGS = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 LINKS = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*\)|\[([^\[\]]*)\]\[[^\[\]]*\]")
-ADDRESS = re.compile(r"(?i)\b(?:https?|ftp)://\S+|\bwww\.\S+|\S+@\S+\.\S+")
+ADDRESS = re.compile(r"(?i)\b(?:https?|ftp)://\S+|\bwww\.\S+|[\w.+-]{1,64}@[\w-]{1,63}\.\w\S*")
 INLINE_CODE = re.compile(r"`[^`\n]*`")
 LOG = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d:\d\d)|\b(?:ERROR|WARN|INFO|DEBUG|TRACE)\b.*[:=]|^\s*(?:at\s+[\w.$]+\(|Traceback|File \")")
 CODE = re.compile(

@@ -245,11 +245,12 @@ def weighted_median(v: np.ndarray, w: np.ndarray) -> float:
     return float(v[o][np.searchsorted(c, c[-1] / 2)])
 
 
-def trained(samples: DataFrame) -> Model:
-    """samples: text, grade, sample_id."""
+def trained(samples: DataFrame) -> Model | None:
+    """samples: text, grade, sample_id. None without any graded text."""
     n = samples.count()
     rows = samples if n <= MOST_SAMPLES else samples.filter(F.pmod(F.xxhash64("sample_id"), F.lit(n)) < MOST_SAMPLES)
-    return train([(r.text, r.grade) for r in rows.orderBy("sample_id").select("text", "grade").collect()])
+    graded = [(r.text, r.grade) for r in rows.orderBy("sample_id").select("text", "grade").collect()]
+    return train(graded) if any(t and t.strip() and g is not None for t, g in graded) else None
 
 
 SCHEMA = "doc_id bigint, grade double, n_words bigint"
@@ -260,7 +261,7 @@ def reading_grades(documents: DataFrame, samples: DataFrame, least_words: int =
 
     grade is null for null, empty and blank texts, for texts with fewer than least_words words of prose, and for
     texts of which less than half of the prose is English. Code, logs, tables, quotes, links and markup do not
-    count. Texts are read whole. One row for each row; other columns are ignored.
+    count. Texts are read whole. One row for each row; other columns are ignored. Without samples all grades are null.
     """
     model = trained(samples)
     schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.float64()), ("n_words", pa.int64())])
@@ -281,7 +282,7 @@ def reading_grades(documents: DataFrame, samples: DataFrame, least_words: int =
                         else:
                             other[i] += n
                 grade = np.full(len(texts), np.nan)
-                if x:
+                if x and model:
                     g, k, n = model.grade(features(x)), np.array(owner), np.array(size)
                     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
                     for a, z in zip(first, np.r_[first[1:], len(k)], strict=True):

@@ -17,6 +17,7 @@ import json
 from collections.abc import Iterable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,14 @@ BATCH_SEQ = 2**32
 ROWS_PER_FILE = 20_000_000
 
 
+def observed(seen: Observation, name: str) -> int:
+    """A count that was observed; 0 if the rows were known to be none and the count was dropped from the plan with them."""
+    try:
+        return seen.get[name]
+    except Py4JJavaError:
+        return 0
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark)
@@ -188,7 +197,7 @@ class Store:
         for rp in self.files.entries(f"{self.path}/{db}/points"):
             if rp.name.startswith("rp_days="):
                 found += [(int(rp.name[8:]), int(s.name[12:])) for s in self.files.entries(rp.path) if s.name.startswith("shard_start=")]
-        return found
+        return sorted(found)
 
     def write(self, df: DataFrame, db: str | None = None, now: int | None = None, value: str = "value") -> int:
         """Writes rows (sid, clock, value[, quality][, seq: order in the batch]) to each database and retention period
@@ -218,7 +227,7 @@ class Store:
             routed = routed.observe(seen, F.count(F.lit(1)).alias("n"))
             out = routed.repartition("rp_days", "shard_start", F.pmod(F.xxhash64("sid"), F.lit(8))).sortWithinPartitions("rp_days", "shard_start", "sid", "clock")
             out.write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("rp_days", "shard_start").parquet(f"{self.path}/{d}/points")
-            total += seen.get["n"]
+            total += observed(seen, "n")
         self.counters["writes"] += 1
         self.counters["points_accepted"] += total
         return total

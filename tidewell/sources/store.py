@@ -42,6 +42,7 @@ def observed(seen: Observation, name: str) -> int:
 
 
 class Store:
+    # rows are written by shard, rebalanced: small shards share a task and a large one is split over several files
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark)
         self.is_open = False
@@ -225,7 +226,7 @@ class Store:
                 routed = routed.filter(~shards.expired("clock", F.col("rp_days").cast("long"), now) | kept)
             seen = Observation()
             routed = routed.observe(seen, F.count(F.lit(1)).alias("n"))
-            out = routed.repartition("rp_days", "shard_start", F.pmod(F.xxhash64("sid"), F.lit(8))).sortWithinPartitions("rp_days", "shard_start", "sid", "clock")
+            out = routed.hint("rebalance", "rp_days", "shard_start").sortWithinPartitions("rp_days", "shard_start", "sid", "clock")
             out.write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("rp_days", "shard_start").parquet(f"{self.path}/{d}/points")
             total += observed(seen, "n")
         self.counters["writes"] += 1
@@ -313,7 +314,7 @@ class Store:
                 live = merge.apply_tombstones(points, self.tombstones(d))
                 key = F.row_number().over(merge.Window.partitionBy("rp_days", "sid", "clock").orderBy(F.desc("seq")))
                 live = live.withColumn("_nth", key).filter("_nth = 1").drop("_nth")
-                out = live.repartition("rp_days", "shard_start", F.pmod(F.xxhash64("sid"), F.lit(8))).sortWithinPartitions("rp_days", "shard_start", "sid", "clock")
+                out = live.hint("rebalance", "rp_days", "shard_start").sortWithinPartitions("rp_days", "shard_start", "sid", "clock")
                 tmp = f"{self.path}/{d}/compacting"
                 out.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("rp_days", "shard_start").parquet(tmp)
                 for days, start in todo:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.operators import changefeed, grid, rolling, spikes
 
@@ -33,12 +34,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.rising_days(table(spark, sf_dir, "points_double"), table(spark, sf_dir, "series_registry"))
 
 
+def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, registry = table(spark, sf_dir, "points_double"), table(spark, sf_dir, "series_registry")
+    t = rolling.rolling_totals(rolling.daily_totals(points, rolling.meter_limits(registry)))
+    return t.select("sid", "day_no", *[F.round(c, 3).alias(c) for c in ("total_7", "total_30")], *[F.round(c, 6).alias(c) for c in ("avg_7", "avg_30")], "days_7", "days_30")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_grid": p2_grid,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p6_totals": p6_totals,
 }
 
 CURRENT = """select sid, clock, value, quality, seq from points_double
@@ -63,4 +71,13 @@ cal as (select sid,unnest(range(a,z+1)) day_no from sp),
 f as (select cal.sid,cal.day_no,coalesce(total,0) total,(total is not null)::int act from cal left join d using(sid,day_no)),
 r as (select sid,day_no,sum(total) over (partition by sid order by day_no range between 6 preceding and current row)/7 a7,sum(total) over (partition by sid order by day_no range between 29 preceding and current row)/30 a30,sum(act) over (partition by sid order by day_no range between 29 preceding and current row) n from f)
 select sid,day_no from r where a7>2*a30 and n>=20""",
+    "p6_totals": f"""with cur as (
+  {CURRENT}), m as (select sid,max(phys_lo) lo,min(phys_hi) hi from series_registry where meas='meter' group by sid),
+d as (select sid, clock//864000000000 day_no, sum(value) total from cur join m using(sid) where value>=lo and value<=hi group by 1,2),
+sp as (select sid,min(day_no) a,max(day_no) z from d group by sid),
+cal as (select sid,unnest(range(a,z+1)) day_no from sp),
+f as (select cal.sid,cal.day_no,coalesce(total,0) total,(total is not null)::int act from cal left join d using(sid,day_no)),
+w7 as (select *, sum(total) over w t7, sum(act) over w n7 from f window w as (partition by sid order by day_no range between 6 preceding and current row)),
+w30 as (select *, sum(total) over w t30, sum(act) over w n30 from w7 window w as (partition by sid order by day_no range between 29 preceding and current row))
+select sid, day_no, round(t7, 3) total_7, round(t30, 3) total_30, round(t7 / 7, 6) avg_7, round(t30 / 30, 6) avg_30, n7::bigint days_7, n30::bigint days_30 from w30""",
 }

@@ -213,3 +213,20 @@ def test_optimize_full_and_done(spark):
     assert [r.generations for r in compaction.plan_full(big, 0, 0, force=True).collect()] == [[2, 3]]
     assert compaction.plan_full(big, compaction.COLD_TICKS + 1, 0).count() == 1
     assert rows(compaction.fully_compacted(files(spark, (1, 1, 4, False, True), (2, 1, 1, True, False)))) == [(1, True), (2, False)]
+
+
+@pytest.mark.parametrize("target", [10**6, 40])
+def test_positions_and_predecessors_of_split_series(spark, points, target, monkeypatch):
+    from tidewell.operators import lanes
+
+    monkeypatch.setattr(lanes, "TARGET_ROWS", target)
+    rnd = random.Random(7)
+    clocks = sorted(rnd.sample(range(0, 300), 90)) + sorted(rnd.sample(range(5000, 5300), 90))
+    p = points([(1, c, float(c), 0, c) for c in clocks] + [(2, 3, 3.0, 0, 1)])
+    got = rows(lanes.with_position(p, lanes.LanePlan.of(p, target)), "sid", "clock", "at")
+    assert got == [(1, c, i) for i, c in enumerate(clocks)] + [(2, 3, 0)]
+    ask = [rnd.randint(0, 6000) for _ in range(60)]
+    asked = spark.createDataFrame([(1, a) for a in sorted(set(ask))] + [(3, 1)], "sid bigint, clock bigint")
+    want = [(1, a, max((c for c in clocks if c <= a), default=None)) for a in sorted(set(ask))] + [(3, 1, None)]
+    assert rows(merge.predecessors(p, asked, target), "sid", "clock", "point_clock") == want
+    assert rows(merge.sorted_series(p), "sid", "clock") == [r[:2] for r in got]

@@ -113,9 +113,7 @@ def surviving_rows(inserts: DataFrame, deletes: DataFrame, bucket_ticks: int = B
             s = r[keep]
             yield lanes.batch(schema, b["sid"][s], (b["bucket"][s] - BUCKET_ZERO) * t + b["lo"][s], seq[s])
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(n, -(-inserts.count() // lanes.ROWS_PER_TASK))
-    return stream.repartition(n, "sid", "bucket").sortWithinPartitions("sid", "bucket").mapInArrow(apply, "sid bigint, clock bigint, seq bigint")
+    return stream.repartition(lanes.tasks(spark, inserts.count()), "sid", "bucket").sortWithinPartitions("sid", "bucket").mapInArrow(apply, "sid bigint, clock bigint, seq bigint")
 
 
 def latest_cover(lo: np.ndarray, hi: np.ndarray, seq: np.ndarray, n: int) -> np.ndarray:

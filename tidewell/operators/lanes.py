@@ -3,7 +3,7 @@
 A *lane* is what one sorted pass sees at a time: a whole series, or, of a series with more rows than
 ``target_rows``, one slice of its time span. ``LanePlan`` finds the long series with one aggregation that
 reads two columns. The plan has at most ``MAX_HEAVY`` series, since the row target grows with the table; it
-is therefore safe to hold on the driver and to broadcast.
+is therefore safe to hold on the driver and to broadcast (32 bytes each).
 
 Rows travel as ``(sid, lane, clock, seq, value, tag)``. Settings of a series go the same way, as rows with
 the tag CONFIG, so neither a broadcast nor a second, skewed join on sid is needed.
@@ -16,18 +16,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 READING, HALO, CONFIG = 0, 1, 2
 CONFIG_CLOCK = -(2**63)
-MAX_HEAVY = 50_000
+MAX_HEAVY = 500_000
 TARGET_ROWS = 250_000
-ROWS_PER_TASK = 1_500_000
+#: Rows of a task, and tasks of a shuffle from which tasks grow instead (each sorts on disk and is passed block by block).
+ROWS_PER_TASK, MOST_TASKS = 1_500_000, 50_000
 BLOCK_ROWS = 60_000
 LANE_SCHEMA = "sid bigint, lane bigint, clock bigint, seq bigint, value double, tag tinyint"
 
 
+def tasks(spark: SparkSession, rows: int) -> int:
+    """Tasks of a shuffle of so many rows: what the session asks for, more where a task would hold too many."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-rows // ROWS_PER_TASK)))
+
+
 def live(points: DataFrame, value: str = "value") -> DataFrame:
     """Rows that can be a current reading: sid and clock known, value neither null nor NaN (infinite ones stay)."""
     usable = F.col("sid").isNotNull() & F.col("clock").isNotNull() & F.col(value).isNotNull()
@@ -54,18 +60,16 @@ class LanePlan:
             known.groupBy("sid")
             .agg(F.count(F.lit(1)).alias("n"), F.min("clock").alias("lo"), F.max("clock").alias("hi"))
             .filter(F.col("n") > target)
-            .collect()  # at most MAX_HEAVY rows, by the choice of target
+            .toPandas()  # at most MAX_HEAVY rows, by the choice of target
         )
         heavy = []
-        for r in found:
-            lanes = -(-r.n // target)
-            width = (r.hi - r.lo) // lanes + 1
-            heavy.append((r.sid, r.lo, width, lanes))
+        for sid, n, lo, hi in zip(*(found[c].tolist() for c in ("sid", "n", "lo", "hi")), strict=True):
+            lanes = -(-n // target)
+            heavy.append((sid, lo, (hi - lo) // lanes + 1, lanes))
         return LanePlan(spark, rows, sorted(heavy))
 
     def partitions(self) -> int:
-        """Tasks of a pass: what the session asks for, more where a task would hold too many rows."""
-        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-self.rows // ROWS_PER_TASK))
+        return tasks(self.spark, self.rows)
 
     def table(self) -> DataFrame:
         return self.spark.createDataFrame(self.heavy, "sid bigint, _lo bigint, _width bigint, _lanes bigint")
@@ -93,6 +97,21 @@ class LanePlan:
         return {h[0] for h in self.heavy}
 
 
+def with_position(points: DataFrame, plan: LanePlan | None = None, name: str = "at") -> DataFrame:
+    """Adds the place of each row in its series, from 0 in the order of clock, without a task that holds a long series:
+    rows are numbered in their lane, from the number of rows in the lanes before it."""
+    plan = LanePlan.of(points) if plan is None else plan
+    place = F.row_number().over(Window.partitionBy("sid", "lane").orderBy("clock")) - 1
+    rows = plan.with_lane(points)
+    if not plan.heavy:
+        return rows.withColumn(name, place.cast("long")).drop("lane")
+    sizes = plan.only_heavy(rows).groupBy("sid", "lane").count()
+    before = F.sum("count").over(Window.partitionBy("sid").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("sid", "lane", F.coalesce(before, F.lit(0)).alias("_before"))
+    # as many rows as there are lanes of split series: at most twice MAX_HEAVY
+    return rows.join(F.broadcast(offsets), ["sid", "lane"], "left").withColumn(name, place + F.coalesce("_before", F.lit(0)).cast("long")).drop("lane", "_before")
+
+
 def reading_rows(points: DataFrame, plan: LanePlan, value: Column | None = None) -> DataFrame:
     """Readings as lane rows. value: a number made from the columns of points; a null seq is below all others."""
     number = (F.col("value") if value is None else value).cast("double")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.clock import MAX_CLOCK, MIN_CLOCK, TICKS_PER_SECOND
-from tidewell.operators import model
+from tidewell.operators import lanes, model
 
 POINTS_PER_BLOCK = 1000
 
@@ -29,8 +29,7 @@ def series_bytes(points: DataFrame) -> DataFrame:
 
 def block_index(points: DataFrame, block: int = POINTS_PER_BLOCK) -> DataFrame:
     """(sid, block_no, min_clock, max_clock, n_points): each series cut into blocks of ``block`` points in clock order."""
-    w = Window.partitionBy("sid").orderBy("clock")
-    numbered = points.select("sid", "clock", (F.row_number().over(w) - 1).alias("at"))
+    numbered = lanes.with_position(points.select("sid", "clock"))
     return numbered.groupBy("sid", F.expr(f"at div {block}").alias("block_no")).agg(F.min("clock").alias("min_clock"), F.max("clock").alias("max_clock"), F.count(F.lit(1)).alias("n_points"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.clock import MAX_CLOCK, MIN_CLOCK
+from tidewell.operators import lanes
 
 #: Sids of a list up to which it becomes a predicate that is pushed to the scan; a longer one becomes a semi join.
 PUSHED_SIDS = 1000
@@ -84,23 +85,32 @@ def delete_range(points: DataFrame, sids: Iterable[int], lo: int = MIN_CLOCK, hi
 
 def position_slice(points: DataFrame, start: int, count: int) -> DataFrame:
     """Of each series the points at the places start, start + 1, ... (from 0), in clock order."""
-    w = Window.partitionBy("sid").orderBy("clock")
-    return points.withColumn("_at", F.row_number().over(w) - 1).filter(F.col("_at").between(start, start + count - 1)).drop("_at")
+    return lanes.with_position(points, name="_at").filter(F.col("_at").between(start, start + count - 1)).drop("_at")
 
 
-def predecessors(points: DataFrame, asked: DataFrame) -> DataFrame:
+def predecessors(points: DataFrame, asked: DataFrame, target_rows: int = lanes.TARGET_ROWS) -> DataFrame:
     """Extension: for each asked (sid, clock) the nearest point at or before it (point_clock, value), null if there is none.
 
-    One sorted pass over both sides together; no range join.
+    One sorted pass over both sides together, lane by lane; no range join. The last point of each lane of a split
+    series is handed to the lanes behind it.
     """
+    kind = f"struct<point_clock:bigint,value:{dict(points.dtypes)['value']}>"
     both = points.select("sid", "clock", F.struct(F.col("clock").alias("point_clock"), "value").alias("p"), F.lit(0).alias("_ask")).unionByName(
-        asked.select("sid", "clock", F.lit(None).cast("struct<point_clock:bigint,value:" + dict(points.dtypes)["value"] + ">").alias("p"), F.lit(1).alias("_ask"))
+        asked.select("sid", "clock", F.lit(None).cast(kind).alias("p"), F.lit(1).alias("_ask"))
     )
-    w = Window.partitionBy("sid").orderBy("clock", "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    plan = lanes.LanePlan.of(both.select("sid", "clock"), target_rows)
+    both = plan.with_lane(both)
+    w = Window.partitionBy("sid", "lane").orderBy("clock", "_ask").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("p", F.last("p", ignorenulls=True).over(w)).filter("_ask = 1")
+    if plan.heavy:
+        last = plan.only_heavy(both).groupBy("sid", "lane").agg(F.max(F.when(F.col("_ask") == 0, F.struct("clock", "p"))).alias("last"))
+        earlier = Window.partitionBy("sid").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+        carried = last.select("sid", "lane", F.last("last.p", ignorenulls=True).over(earlier).alias("_carried"))
+        # as many rows as there are lanes of split series
+        found = found.join(F.broadcast(carried), ["sid", "lane"], "left").withColumn("p", F.coalesce("p", "_carried"))
     return found.select("sid", "clock", "p.point_clock", "p.value")
 
 
 def sorted_series(points: DataFrame) -> DataFrame:
-    """Each task's series in the order of sid and clock; the order of storage, without a global sort."""
-    return points.repartition("sid").sortWithinPartitions("sid", "clock")
+    """All points in the order of sid and clock, by ranges of both, so that a long series is spread over tasks."""
+    return points.repartitionByRange("sid", "clock").sortWithinPartitions("sid", "clock")

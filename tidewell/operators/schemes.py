@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import codes
+from tidewell.operators import lanes
 from tidewell.operators.measures import POINTS_PER_BLOCK
 
 LARGEST_PACKED = 2**60 - 1
@@ -15,8 +16,7 @@ DIVISOR_POWERS = tuple(range(12, -1, -1))
 
 def blocked(points: DataFrame, value: str, block: int) -> DataFrame:
     """(sid, block_no, at, x, delta): values of each block in clock order, with the change from the one before it in the block."""
-    w = Window.partitionBy("sid").orderBy("clock")
-    at = points.select("sid", "clock", F.col(value).cast("long").alias("x"), (F.row_number().over(w) - 1).alias("n"))
+    at = lanes.with_position(points.select("sid", "clock", F.col(value).cast("long").alias("x")), name="n")
     inside = Window.partitionBy("sid", "block_no").orderBy("n")
     return at.select("sid", F.expr(f"n div {block}").alias("block_no"), "n", "x").withColumn("delta", F.col("x") - F.lag("x").over(inside))
 
@@ -57,7 +57,6 @@ def boolean_sizes(points: DataFrame, block: int = POINTS_PER_BLOCK) -> DataFrame
 
 def string_sizes(points: DataFrame, block: int = POINTS_PER_BLOCK) -> DataFrame:
     """(sid, block_no, n_points, n_bytes): of length-prefixed UTF-8 values, before compression."""
-    w = Window.partitionBy("sid").orderBy("clock")
     one = F.octet_length("value").cast("long")
-    at = points.select("sid", (one + codes.signed_varint_size(one)).alias("bytes"), (F.row_number().over(w) - 1).alias("n"))
+    at = lanes.with_position(points.select("sid", "clock", (one + codes.signed_varint_size(one)).alias("bytes")), name="n")
     return at.groupBy("sid", F.expr(f"n div {block}").alias("block_no")).agg(F.count(F.lit(1)).alias("n_points"), F.sum("bytes").alias("n_bytes"))

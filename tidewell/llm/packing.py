@@ -119,7 +119,7 @@ def pack(sizes: DataFrame, capacities: list[tuple[int, int]], ranked_rows: int =
     # the items of a size are ranked in slices; slices of a size that has several are numbered through by their counts
     sliced = [(r.pack_id, r["size"], -(-r["count"] // ranked_rows)) for r in counts if r["count"] > ranked_rows]
     spark = sizes.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(r["count"] for r in counts) // lanes.ROWS_PER_TASK)
+    n = lanes.tasks(spark, sum(r["count"] for r in counts))
     stream = items.select("pack_id", "size", F.lit(0).alias("slice"), "doc_id", "piece_no", F.lit(None).cast("long").alias("offset"))
     if sliced:
         many = F.broadcast(spark.createDataFrame(sliced, "pack_id int, size bigint, slices bigint"))  # at most the sum of the capacities

@@ -42,8 +42,8 @@ def daily_totals(points: DataFrame, limits: DataFrame, broadcast_rows: int = BRO
     """
     rows = lookup(lanes.live(points).select("sid", "clock", "value", F.coalesce("seq", F.lit(lanes.CONFIG_CLOCK)).alias("seq")), limits, "sid", broadcast_rows)
     # max_by keeps fixed-width buffers, so both steps combine before the shuffle and stay hash aggregates
-    current = rows.groupBy("sid", "clock").agg(F.max_by("value", "seq").alias("value"), F.first("phys_lo").alias("lo"), F.first("phys_hi").alias("hi"))
-    usable = current.filter("value between lo and hi")
+    # (null: the last write is not usable)
+    usable = rows.groupBy("sid", "clock").agg(F.max_by(F.expr("case when value between phys_lo and phys_hi then value end"), "seq").alias("value")).filter("value is not null")
     day = F.expr(f"(clock - pmod(clock, {DAY_TICKS})) div {DAY_TICKS}")
     return usable.groupBy("sid", day.alias("day_no")).agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
 

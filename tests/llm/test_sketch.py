@@ -111,3 +111,16 @@ def test_blocks_of_lanes_do_not_matter(spark, points, monkeypatch):
     a = rows(sketch.percentiles(df))
     monkeypatch.setattr(lanes, "BLOCK_ROWS", 150)
     assert rows(sketch.percentiles(df)) == a
+
+
+def test_many_tiny_series_need_little_memory():
+    import tracemalloc
+
+    g = np.arange(60_000)
+    v = np.random.default_rng(0).normal(size=60_000)
+    tracemalloc.start()
+    got = sketch.block_percentiles(g, v, 60_000, (50, 99))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    right = np.isclose(got, v[:, None], rtol=2**-23)
+    assert right.mean() > 0.999 and peak < 150e6

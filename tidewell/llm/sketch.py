@@ -27,6 +27,8 @@ from tidewell.operators import lanes
 BITS, LEVELS, DEPTH = 36, 24, 5
 TOP = 1 << (BITS - LEVELS)
 WIDTH_BITS, LEAST_WIDTH_BITS = 12, 6
+#: Cells of a level that are held at once while a block of series is sketched.
+MOST_CELLS = 1 << 19
 _SIGN = np.uint64(1 << 63)
 _random = np.random.default_rng(20190823)
 #: Fixed by the seed, so that sketches of different jobs can be merged.
@@ -63,16 +65,21 @@ def _cells(code: np.ndarray, weight: np.ndarray | None, offset: np.ndarray, shif
     return out
 
 
-def _descend(cells: Callable[[int], np.ndarray], top: np.ndarray, offset: np.ndarray, shift: np.ndarray, percents: tuple[float, ...]) -> np.ndarray:
-    """(sketches, percents): the value of each percentile; NaN for an empty sketch. top: exact counts (sketches, TOP)."""
-    rank = np.cumsum(top, axis=1)
-    n = rank[:, -1]
-    g = np.repeat(np.arange(len(top)), len(percents))
-    want = np.clip(np.ceil(n[g] * np.tile(np.array(percents) / 100.0, len(top)) - 1e-9), 1, np.maximum(n[g], 1))
-    node = np.concatenate([np.searchsorted(rank[i], want[i * len(percents) : (i + 1) * len(percents)]) for i in range(len(top))]) if len(top) else np.zeros(0, int)
-    node = np.minimum(node, TOP - 1)
-    count = top[g, node].astype(float)
-    before = rank[g, node] - count
+def _descend(cells: Callable[[int], np.ndarray], top: tuple[np.ndarray, np.ndarray], offset: np.ndarray, shift: np.ndarray, percents: tuple[float, ...]) -> np.ndarray:
+    """(sketches, percents): the value of each percentile; NaN for an empty sketch. top: the nodes of the exact level that
+    occur, as sketch * TOP + node in ascending order, and their counts."""
+    places, counts = top
+    groups = len(offset)
+    n = np.bincount(places // TOP, counts, groups)
+    g = np.repeat(np.arange(groups), len(percents))
+    if not len(places):
+        return np.full((groups, len(percents)), np.nan)
+    want = np.clip(np.ceil(n[g] * np.tile(np.array(percents) / 100.0, groups) - 1e-9), 1, np.maximum(n[g], 1))
+    upto, base = np.cumsum(counts), np.cumsum(n) - n
+    at = np.minimum(np.searchsorted(upto, base[g] + want), len(places) - 1)
+    count = counts[at].astype(float)
+    before = upto[at] - count - base[g]
+    node = places[at] % TOP
     node = node.astype(np.uint64)
     for level in range(LEVELS - 1, -1, -1):
         c = cells(level)
@@ -92,7 +99,7 @@ def _descend(cells: Callable[[int], np.ndarray], top: np.ndarray, offset: np.nda
         count = np.where(right, count - here, here)
     out = decode(node)
     out[n[g] <= 0] = np.nan
-    return out.reshape(len(top), len(percents))
+    return out.reshape(groups, len(percents))
 
 
 class DyadicSketch:
@@ -133,7 +140,8 @@ class DyadicSketch:
         return out
 
     def percentiles(self, percents: tuple[float, ...]) -> np.ndarray:
-        return _descend(lambda level: self.cells[level], self.top[None], np.zeros(1, np.int64), np.full(1, 64 - self.width_bits, np.uint64), percents)[0]
+        there = np.flatnonzero(self.top)
+        return _descend(lambda level: self.cells[level], (there, self.top[there]), np.zeros(1, np.int64), np.full(1, 64 - self.width_bits, np.uint64), percents)[0]
 
     def to_bytes(self) -> bytes:
         flat = np.concatenate([self.top, self.cells.ravel()])
@@ -149,19 +157,29 @@ class DyadicSketch:
 
 
 def block_percentiles(g: np.ndarray, value: np.ndarray, groups: int, percents: tuple[float, ...]) -> np.ndarray:
-    """Sketches all groups of a block side by side, and descends them together, one level at a time.
+    """Sketches the groups of a block side by side, and descends them together, one level at a time.
 
-    A group of n values gets a width of at least 8 n, from 2**LEAST_WIDTH_BITS up to 2**WIDTH_BITS.
+    g: group of each value, ascending. A group of n values gets a width of at least 16 n, from
+    2**LEAST_WIDTH_BITS up to 2**WIDTH_BITS.
     """
     code = encode(value)
     n = np.bincount(g, minlength=groups)
-    bits = np.clip(np.ceil(np.log2(np.maximum(n, 1) * 8.0)).astype(np.int64), LEAST_WIDTH_BITS, WIDTH_BITS)
+    bits = np.clip(np.ceil(np.log2(np.maximum(n, 1) * 16.0)).astype(np.int64), LEAST_WIDTH_BITS, WIDTH_BITS)
     width = np.left_shift(1, bits)
-    offset = np.cumsum(width) - width
-    shift = (64 - bits).astype(np.uint64)
-    top = np.bincount(g * TOP + (code >> np.uint64(LEVELS)).astype(np.int64), minlength=groups * TOP).reshape(groups, TOP)
-    of, sh, total = offset[g], shift[g], int(width.sum())
-    return _descend(lambda level: _cells(code, None, of, sh, total, level), top, offset, shift, percents)
+    part = np.cumsum(width) // MOST_CELLS
+    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, groups]
+    rows = np.searchsorted(g, cuts)
+    out = np.full((groups, len(percents)), np.nan)
+    for a, z, i, j in zip(cuts, cuts[1:], rows, rows[1:]):
+        if i == j:
+            continue
+        own, c = g[i:j] - a, code[i:j]
+        offset = np.cumsum(width[a:z]) - width[a:z]
+        shift = (64 - bits[a:z]).astype(np.uint64)
+        top = np.unique(own * TOP + (c >> np.uint64(LEVELS)).astype(np.int64), return_counts=True)
+        of, sh, total = offset[own], shift[own], int(width[a:z].sum())
+        out[a:z] = _descend(lambda level, c=c, of=of, sh=sh, total=total: _cells(c, None, of, sh, total, level), top, offset, shift, percents)
+    return out
 
 
 SKETCH_SCHEMA = pa.schema([("sid", pa.int64()), ("pct", pa.int32()), ("value", pa.float64()), ("sketch", pa.binary())])

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from tests.conftest import rows
 from tidewell.operators import changefeed
+from tidewell.sources.deltas import DeltaTable
 
 FEED = "seq bigint, kind string, sid bigint, clock bigint, value double, quality int, min_clock bigint, max_clock bigint"
 DAY = changefeed.BUCKET_TICKS
@@ -74,3 +75,25 @@ def test_node_count_is_bounded(spark):
     d = spark.createDataFrame([(1, 5, DAY * 100000 + 7, 1), (1, None, None, 2)], "sid bigint, lo bigint, hi bigint, seq bigint")
     nodes, parts = changefeed.delete_keys(d)
     assert nodes.count() <= 2 * changefeed.LEVELS + 1 and parts.count() == 2
+
+
+def test_table_of_insert_and_delete_files(spark, tmp_path):
+    rnd = random.Random(5)
+    feed = []
+    for seq in range(300):
+        if rnd.random() < 0.8:
+            feed.append((seq, "write", rnd.choice([1, 2]), rnd.randint(0, 90), float(seq), 0, None, None))
+        else:
+            lo = rnd.randint(0, 90)
+            feed.append((seq, rnd.choice(["delete_range", "delete_range", "delete"]) if seq % 50 == 0 else "delete_range", 1, None, None, None, lo, lo + rnd.randint(0, 30)))
+    table = DeltaTable(spark, str(tmp_path / "t"), 16)
+    assert rows(table.read()) == []
+    late = [*feed[200:], *feed[:120], *feed[100:200]]  # out of order, some twice
+    for part in (late[:150], late[150:], late[:20]):
+        table.append(spark.createDataFrame(part, FEED))
+    want = brute(feed)
+    assert set(rows(table.read(), "sid", "clock", "seq")) == want
+    table.compact()
+    assert set(rows(table.read(), "sid", "clock", "seq")) == want
+    table.append(spark.createDataFrame([(999, "delete", 1, None, None, None, None, None)], FEED))
+    assert {r[0] for r in rows(table.read(), "sid")} == {2}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import codes
 from tidewell.functions.clock import MAX_CLOCK, MIN_CLOCK, RETENTION_DAYS, clock_literal, clock_of, point_text
-from tidewell.operators import blocks, changefeed, measures, merge, model, schemes, shards
+from tidewell.operators import blocks, changefeed, lanes, measures, merge, model, rolling, schemes, shards
 from tidewell.plans import compaction
 from tidewell.queries import CURRENT, table
 
@@ -65,8 +65,6 @@ def registry(s: SparkSession, d: str) -> DataFrame:
 
 
 def current(s: SparkSession, d: str) -> DataFrame:
-    from tidewell.operators import lanes
-
     return merge.last_write_wins(lanes.live(points(s, d)))
 
 
@@ -113,8 +111,6 @@ def _(s, d):
 
 @query("boolean_points", "select sid, clock, value, quality from points_bool where sid = 500023 and value is not null qualify row_number() over (partition by sid, clock order by seq desc) = 1")
 def _(s, d):
-    from tidewell.operators import lanes
-
     return merge.read_range(lanes.live(table(s, d, "points_bool")), [500023]).select("sid", "clock", "value", "quality")
 
 
@@ -161,8 +157,6 @@ def _(s, d):
 
 @query("accepted_counts", "select db_name, rp_days, count(*) n_accepted from points_double join (select distinct db_name, rp_days, sid from series_registry) using (sid) where value is not null and not isnan(value) group by all")
 def _(s, d):
-    from tidewell.operators import lanes, rolling
-
     routes = registry(s, d).select("db_name", "rp_days", "sid").distinct()
     return rolling.lookup(lanes.live(points(s, d)).select("sid", "clock"), routes, "sid").groupBy("db_name", "rp_days").agg(F.count(F.lit(1)).alias("n_accepted"))
 
@@ -260,8 +254,6 @@ def _(s, d):
 
 @query("expired_points", f"select sid, clock, rp_days from (select distinct rp_days, sid from series_registry) join points_double using (sid) where {NOW} > clock + rp_days * 864000000000")
 def _(s, d):
-    from tidewell.operators import rolling
-
     x = rolling.lookup(points(s, d), registry(s, d).select("rp_days", "sid").distinct(), "sid")
     return x.filter(shards.expired("clock", F.col("rp_days").cast("long"), NOW)).select("sid", "clock", "rp_days")
 
@@ -419,8 +411,6 @@ def _(s, d):
 
 @query("boolean_sizes", "select sid, nth // 1000 as block_no, count(*) n_points, 1 + case when 2 * count(*) < 128 then 1 when 2 * count(*) < 16384 then 2 else 3 end + (count(*) + 7) // 8 as n_bytes from (select sid, row_number() over (partition by sid order by clock) - 1 as nth from (select sid, clock from points_bool where value is not null group by 1, 2)) group by 1, 2")
 def _(s, d):
-    from tidewell.operators import lanes
-
     return schemes.boolean_sizes(merge.last_write_wins(lanes.live(table(s, d, "points_bool"))))
 
 

@@ -77,11 +77,15 @@ def delete_keys(deletes: DataFrame, bucket_ticks: int = BUCKET_TICKS) -> tuple[D
 def surviving_rows(inserts: DataFrame, deletes: DataFrame, bucket_ticks: int = BUCKET_TICKS) -> DataFrame:
     """(sid, clock, seq) of the rows that a reader still sees: the latest insert of each (sid, clock), unless a
     delete with a higher seq covers it."""
+    return rows_not_deleted(inserts, *delete_keys(deletes, bucket_ticks), bucket_ticks)
+
+
+def rows_not_deleted(inserts: DataFrame, nodes: DataFrame, parts: DataFrame, bucket_ticks: int = BUCKET_TICKS) -> DataFrame:
+    """surviving_rows from the keys that delete_keys made, by any number of jobs."""
     t = bucket_ticks
     bits = int(t).bit_length()
     spark = inserts.sparkSession
     rows = inserts.select("sid", F.expr(f"(clock - pmod(clock, {t})) div {t} + {BUCKET_ZERO}").alias("bucket"), "clock", "seq")
-    nodes, parts = delete_keys(deletes, t)
     covers = (
         rows.select("sid", "bucket").distinct()
         .withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))

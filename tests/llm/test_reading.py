@@ -66,6 +66,7 @@ def test_prose_alone_counts():
 def test_languages():
     own = lambda t: [e for _, _, e in prose.windows(t)]
     assert own("I have the new pump and it is not working with the old filter.") == [True]
+    assert own("Discontinuity precludes nonparametric serialisation. Hydrolysis remains intrinsically idiosyncratic. Ostensible misclassification presupposes methodology.") == [True]
     assert own("Ich habe die Pumpe gekauft und jetzt geht das Gehäuse nicht mehr, obwohl der Filter neu ist.") == [False]
     assert own("J'ai changé le filtre mais la pompe reste très bruyante avec le câble.") == [False]
     assert own("Я заменил фильтр, но счётчик не работает.") == [False]

@@ -32,8 +32,8 @@ FOREIGN = frozenset(
     "el los las y es una por con para pero muy está qué cómo del lo como más mi su he ha "
     "il di che è non per sono della questo ma anche "
     "het een van niet ik maar op te dat zijn met voor "
-    "o os as não que um uma com mas muito foi está no na".split()
-)
+    "o os não que um uma mas muito foi está na".split()
+) - frozenset("die war hat pour plus con met den".split())
 
 
 #: A line without any of these is prose, unless it begins as code does.
@@ -93,7 +93,7 @@ def windows(text: str, least: int = WINDOW_WORDS) -> list[tuple[list[str], list[
 
     A window takes whole sentences and does not cross from English to another language; a sentence that is much
     longer stays whole. Paragraphs are judged by the function words in them; a paragraph without any is taken
-    for English if it is in Latin script without accents.
+    for English if it is in Latin script with few accents.
     """
     out: list[tuple[list[str], list[list[str]], bool]] = []
     held: tuple[list[str], list[list[str]], bool] | None = None
@@ -129,6 +129,5 @@ def is_english(low: list[str]) -> bool:
     strange = sum(not w.isascii() and any(c > "ɏ" or c in "äöüßéèêëàâçñóíúáìòùîïôûœãõ" for c in w) for w in low)
     if strange > 0.3 * len(low):
         return False
-    if own + other == 0:
-        return strange == 0
-    return own >= other and own >= 0.08 * len(low) and strange <= 0.15 * len(low) or (other == 0 and strange == 0 and len(low) < 12)
+    # learned prose can do with few function words, but then has none of another language
+    return own >= other and strange <= 0.15 * len(low) and (own >= 0.08 * len(low) or other <= 0.04 * len(low))

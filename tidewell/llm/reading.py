@@ -1,7 +1,7 @@
 """Reading level by gradient-boosted regression trees over length, vocabulary, syntax and cohesion.
 
 The trees are trained on windows of the graded samples, and their predictions are calibrated on predictions for
-samples that were held out. A document is cut into windows of its own English prose; its grade is the median
+samples that were held out. A document is cut into windows of its own English prose; its grade is a smooth median
 of its windows' grades, weighted by words, so that most of the prose decides.
 """
 
@@ -23,6 +23,8 @@ LEAST_WORDS = 20
 MOST_SAMPLES = 20_000
 #: Words of the windows that the samples are cut into, one cut after the other.
 TRAINED_ON = (25, 40, 60, 90, 130)
+#: Width over which a window counts to both sides of the median.
+BLUR = 0.25
 VOWELS = re.compile(r"[aeiouy]+")
 #: Endings of learned words, and words that join clauses or sentences.
 LEARNED = ("tion", "sion", "ity", "ism", "ness", "ment", "ance", "ence", "ical", "ious", "eous", "ially", "ally", "ively", "ology", "isation", "ization", "ability", "ous", "ive", "ate")
@@ -234,15 +236,25 @@ def train(samples: list[tuple[str | None, int | None]], folds: int = 5) -> Model
             raw[~on] = boost(xs[on], ys[on], ws[on]).predict(xs[~on])
     px, py = isotonic(raw, ys, ws)
     calibrated = np.interp(raw, px, py)
-    whole = np.array([[weighted_median(calibrated[ks == k], ws[ks == k]), ys[ks == k][0]] for k in np.unique(ks)])
+    _, first, owner = np.unique(ks, return_index=True, return_inverse=True)
+    whole = np.stack([smooth_median(calibrated, ws, owner, len(first)), ys[first]], axis=1)
     error = np.abs(whole[:, 0] - whole[:, 1])
     return Model(boost(xs, ys, ws), px, py, {"mean_error": float(error.mean()), "right": float((error < 0.5).mean()), "upper_right": float(((whole[:, 0] >= 3.5) == (whole[:, 1] >= 3.5)).mean())})
 
 
-def weighted_median(v: np.ndarray, w: np.ndarray) -> float:
-    o = np.argsort(v, kind="stable")
-    c = np.cumsum(w[o])
-    return float(v[o][np.searchsorted(c, c[-1] / 2)])
+def smooth_median(value: np.ndarray, weight: np.ndarray, owner: np.ndarray, groups: int) -> np.ndarray:
+    """Of each group the value that as much weight lies above as below, where a value near it counts in part to both sides.
+
+    So a window whose grade is in doubt decides less than one whose grade is clear. NaN for an empty group.
+    """
+    total = np.bincount(owner, weight, groups)
+    lo, hi = np.zeros(groups), np.full(groups, 6.0)
+    for _ in range(24):
+        mid = (lo + hi) / 2
+        above = np.bincount(owner, weight / (1 + np.exp((mid[owner] - value) / BLUR)), groups)
+        up = above > total / 2
+        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+    return np.where(total > 0, (lo + hi) / 2, np.nan)
 
 
 def trained(samples: DataFrame) -> Model | None:
@@ -284,11 +296,7 @@ def reading_grades(documents: DataFrame, samples: DataFrame, least_words: int =
                 grade = np.full(len(texts), np.nan)
                 if x and model:
                     g, k, n = model.grade(features(x)), np.array(owner), np.array(size)
-                    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-                    for a, z in zip(first, np.r_[first[1:], len(k)], strict=True):
-                        i = k[a]
-                        if english[i] >= max(least_words, other[i]):
-                            grade[i] = weighted_median(g[a:z], n[a:z])
+                    grade = np.where(english >= np.maximum(least_words, other), smooth_median(g, n, k, len(texts)), np.nan)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(texts)), pa.array(grade, mask=np.isnan(grade)), pa.array(english)], schema=schema)
 
     return bpe.spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, SCHEMA)

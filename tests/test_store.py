@@ -66,6 +66,15 @@ def test_writes_reads_and_persistence(spark, store, points):
         store.read([1])
 
 
+def test_order_in_a_batch_is_checked(store, points):
+    store.add_sids([1], 31)
+    for seq in (-1, 2**36):
+        with pytest.raises(Exception, match="seq has to be"):
+            store.write(points([(1, DAY, 1.0, 0, seq)]))
+    assert values(store.read([1])) == []
+    assert store.write(points([(1, DAY, 1.0, 0, 2**36 - 1), (1, DAY, 2.0, 0, None)])) == 2 and values(store.read([1])) == [(1, DAY, 1.0, 0)]
+
+
 def test_deletes(store, points):
     store.add_sids([1, 2], 31)
     store.write(points([(s, DAY + c, 1.0, 0, c) for s in (1, 2) for c in (10, 15, 20, 25)]))

@@ -59,6 +59,16 @@ SQL: dict[str, str] = {
 sl as (select distinct sid, clock - clock%step slot, step from cur join st using(sid)),
 nx as (select *, lead(slot) over (partition by sid order by slot) nxt from sl)
 select sid, unnest(range(slot+step,nxt,step)) slot_clock from nx where nxt-slot<=7*864000000000 and nxt>slot+step""",
+    "p2_grid": f"""with cur as (
+  {CURRENT}), st as (select sid, min(step_ticks) step from series_registry where step_ticks > 0 group by sid),
+r as (select sid, clock, value, step, clock - clock % step slot, lag(clock) over w pc, lag(value) over w pv from cur join st using (sid) window w as (partition by sid order by clock)),
+o as (select *, pc - pc % step pslot, (value - pv) / (clock - pc)::double slope from r),
+f as (select * from o where pc is null or pslot <> slot),
+reading as (select sid, slot slot_clock, 1::bigint n_slots, case when slot - pslot <= {grid.GAP_LIMIT} and isfinite(pv + slope * (slot - pc)) then pv + slope * (slot - pc) else value end as value, 'reading' state from f),
+filled as (select sid, unnest(range(pslot + step, slot, step)) slot_clock, step, pc, pv, slope from f where slot - pslot <= {grid.GAP_LIMIT} and slot - pslot > step)
+select * from reading
+union all select sid, slot_clock, 1::bigint, case when isfinite(pv + slope * (slot_clock - pc)) then pv + slope * (slot_clock - pc) end, 'filled' from filled
+union all select sid, pslot + step, (slot - pslot) // step - 1, null, 'silence' from f where slot - pslot > {grid.GAP_LIMIT}""",
     "p3_found": """with w as (select seq,lower(trim(kind, ' ' || chr(9) || chr(10) || chr(13))) kind,sid,clock,value,min_clock,max_clock from wal_entries),
 p as (select sid,clock,max(seq) seq from w where kind='write' and value is not null and not isnan(value) group by 1,2),
 d as (select sid,seq,case when kind='delete' then null else min_clock end lo,case when kind='delete' then null else max_clock end hi from w where kind in('delete','delete_range'))

@@ -6,7 +6,7 @@
     <path>/<database>/tombs/                   (sid, min_clock, max_clock, seq)
 
 A write appends files to the shards it touches and is visible at once; of equal (sid, clock) the highest seq
-wins on read. seq is the number of the write times 2**32 plus the order in the batch. Compaction rewrites a
+wins on read. seq is the number of the write times 2**36 plus the order in the batch. Compaction rewrites a
 shard to one sorted set of files without overwritten and deleted points and swaps the directory. There is one
 writer; readers see the directories that are there when they plan.
 """
@@ -29,7 +29,7 @@ DEFAULT = "default"
 TOMBS_DDL = "sid bigint, min_clock bigint, max_clock bigint, seq bigint"
 REGISTRY_DDL = "rp_days int, sid bigint"
 STORED_DDL = model.POINTS_DDL + ", rp_days int, shard_start bigint"
-BATCH_SEQ = 2**32
+BATCH_SEQ = 2**36
 ROWS_PER_FILE = 20_000_000
 
 
@@ -204,11 +204,13 @@ class Store:
         """Writes rows (sid, clock, value[, quality][, seq: order in the batch]) to each database and retention period
         in which their sid is registered; the number of points accepted, before duplicates are dropped.
 
-        Rows of unregistered sids are ignored, as are rows that validate() sets aside (see quarantine). With
+        seq has to be from 0 to 2**36 - 1, else the write fails as a whole. Rows of unregistered sids are ignored, as are rows that validate() sets aside (see quarantine). With
         ``now``, expired points are dropped unless a shard for them is there already.
         """
         self._need_open()
         good, _ = model.validate(model.points_of(df, value))
+        outside = F.raise_error(F.lit("seq has to be from 0 to 2**36 - 1")).cast("long")
+        position = F.when(F.col("seq").between(0, BATCH_SEQ - 1), F.col("seq")).otherwise(outside)
         total = 0
         for d in self._databases(db):
             registry = self.registry(d)
@@ -216,7 +218,7 @@ class Store:
             if not periods:
                 continue
             seq = self._next_seq()
-            routed = rolling.lookup(good.withColumn("seq", F.lit(seq) + F.pmod("seq", F.lit(BATCH_SEQ))), registry, "sid")
+            routed = rolling.lookup(good.withColumn("seq", F.lit(seq) + position), registry, "sid")
             routed = routed.withColumn("shard_start", F.col("clock") - F.pmod(F.col("clock"), shards.width_column()))
             if now is not None:
                 there = self.shards(d)

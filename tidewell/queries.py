@@ -53,6 +53,26 @@ CURRENT = """select sid, clock, value, quality, seq from points_double
   where value is not null and not isnan(value)
   qualify row_number() over (partition by sid, clock order by seq desc) = 1"""
 
+#: The definition of problem 5 without a chart: windows of up to three readings that leave and return. A reading between
+#: two spikes fits the windows as well; it is told from them by having both its neighbours in windows.
+IMPLAUSIBLE = f"""with cur as (
+  {CURRENT}), reg as (select sid, max(phys_lo) lo, min(phys_hi) hi, coalesce(max(meas = 'meter'), false) meter from series_registry where sid is not null group by sid),
+r as (select sid, clock, value, lo, hi, meter, row_number() over w n, lag(value) over w prev from cur join reg using (sid) window w as (partition by sid order by clock)),
+m as (select sid, median(abs(value - prev)) filter (where prev is not null and not isnan(value - prev)) med from r group by sid),
+s as (select r.*, value v0, coalesce(med, 0) med, coalesce(10 * med, 0) f, lead(value, 1) over w v1, lead(n, 1) over w n1, lead(value, 2) over w v2, lead(n, 2) over w n2, lead(value, 3) over w v3, lead(n, 3) over w n3, lead(value, 4) over w v4, lead(n, 4) over w n4 from r join m using (sid) window w as (partition by sid order by n)),
+k as (select sid, n, case when f > 0 and v2 is not null and abs(v0 - v2) <= f and not (meter and v0 = 0 and v2 = 0) and (abs(v1 - v0) > f and not isnan(v1 - v0)) and (abs(v1 - v2) > f and not isnan(v1 - v2)) and not (meter and v1 = 0) then 1 else 0 end k1, case when f > 0 and v3 is not null and abs(v0 - v3) <= f and not (meter and v0 = 0 and v3 = 0) and (abs(v1 - v0) > f and not isnan(v1 - v0)) and (abs(v1 - v3) > f and not isnan(v1 - v3)) and not (meter and v1 = 0) and (abs(v2 - v0) > f and not isnan(v2 - v0)) and (abs(v2 - v3) > f and not isnan(v2 - v3)) and not (meter and v2 = 0) then 2 else 0 end k2, case when f > 0 and v4 is not null and abs(v0 - v4) <= f and not (meter and v0 = 0 and v4 = 0) and (abs(v1 - v0) > f and not isnan(v1 - v0)) and (abs(v1 - v4) > f and not isnan(v1 - v4)) and not (meter and v1 = 0) and (abs(v2 - v0) > f and not isnan(v2 - v0)) and (abs(v2 - v4) > f and not isnan(v2 - v4)) and not (meter and v2 = 0) and (abs(v3 - v0) > f and not isnan(v3 - v0)) and (abs(v3 - v4) > f and not isnan(v3 - v4)) and not (meter and v3 = 0) then 3 else 0 end k3 from s),
+h as (select sid, n + unnest(range(1, k + 1)) n, n a, n + k + 1 z from (select sid, n, unnest([k1, k2, k3]) k from k) where k > 0),
+hit as (select distinct sid, n from h),
+spike as (select distinct sid, n from h where not (exists (select 1 from hit where hit.sid = h.sid and hit.n = h.a) and exists (select 1 from hit where hit.sid = h.sid and hit.n = h.z))),
+l as (select *, case when prev is not null and abs(value - prev) <= 0.05 * med and med > 0 then 0 else 1 end opens from s),
+g as (select *, sum(opens) over (partition by sid order by n rows unbounded preceding) run from l),
+u as (select sid, run, min(n) a, max(n) z, count(*) c, arg_min(value, n) first, arg_min(prev, n) before, arg_max(v1, n) after, bool_or(meter) meter from g group by sid, run),
+t as (select sid, count(*) filter (where first <> 0 and c > 1) / count(*) filter (where first <> 0) rate from u group by sid),
+stuck as (select u.sid, unnest(range(a, z + 1)) n from u join t using (sid) where c >= 5 and rate <= 0.1 and not (meter and first = 0) and not (meter and coalesce(before, 1) = 0 and coalesce(after, 1) = 0))
+select sid, clock from s where value < lo or value > hi
+union select sid, clock from s join spike using (sid, n)
+union select sid, clock from s join stuck using (sid, n)"""
+
 SQL: dict[str, str] = {
     "p2_found": f"""with cur as (
   {CURRENT}), st as (select sid,min(step_ticks) step from series_registry where step_ticks>0 group by sid),
@@ -73,6 +93,7 @@ union all select sid, pslot + step, (slot - pslot) // step - 1, null, 'silence'
 p as (select sid,clock,max(seq) seq from w where kind='write' and value is not null and not isnan(value) group by 1,2),
 d as (select sid,seq,case when kind='delete' then null else min_clock end lo,case when kind='delete' then null else max_clock end hi from w where kind in('delete','delete_range'))
 select sid,clock,seq from p where not exists (select 1 from d where d.sid=p.sid and d.seq>p.seq and (lo is null or lo<=clock) and (hi is null or clock<=hi))""",
+    "p5_found": IMPLAUSIBLE,
     "p6_found": f"""with cur as (
   {CURRENT}), m as (select sid,max(phys_lo) lo,min(phys_hi) hi from series_registry where meas='meter' group by sid),
 d as (select sid, clock//864000000000 day_no, sum(value) total from cur join m using(sid) where value>=lo and value<=hi group by 1,2),

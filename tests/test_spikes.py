@@ -86,3 +86,15 @@ def test_median_and_runs():
     run, n = spikes.run_lengths(np.array([False, True, False, True, True]))
     assert run.tolist() == [0, 0, 1, 1, 1] and n.tolist() == [2, 3]
     assert lanes.group_index(np.array([], int))[1].tolist() == []
+
+
+def test_a_sound_reading_between_spikes_is_none():
+    rnd = random.Random(3)
+    vs = np.array([100 + rnd.gauss(0, 1) for _ in range(200)])
+    vs[[50, 52]] = 30.0  # two spikes
+    vs[[120, 122, 124]] = [190.0, 188.0, 185.0]  # three
+    vs[160:163] = [30.0, 31.0, 29.0]
+    x = lanes.Block(np.zeros(200, int), np.ones(200, int), np.arange(200), vs, np.zeros(200, bool), np.full((1, 5), np.nan), np.ones(1, int), np.zeros(1, int))
+    assert np.flatnonzero(spikes.judge(x, np.ones(1, bool)) & 2).tolist() == [50, 52, 120, 122, 124, 160, 161, 162]
+    x.value[:] = np.where(np.isclose(vs, 30.0), np.inf, vs)
+    assert {50, 52} <= set(np.flatnonzero(spikes.judge(x, np.ones(1, bool)) & 2).tolist())

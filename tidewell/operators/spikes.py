@@ -26,6 +26,8 @@ LEAVES, ALIKE = 10.0, 0.05
 #: A series whose runs of like readings are a greater share of its runs does not rarely agree.
 AGREES = 0.10
 HALO = 64
+#: Readings on either side by whose median a reading between two spikes is told from a spike.
+AROUND = 6
 #: Of the change histogram of a split series: steps a doubling.
 FINE = 64
 SCHEMA = "sid bigint, clock bigint, value double, reason string"
@@ -175,7 +177,7 @@ def judge(x: lanes.Block, whole: np.ndarray) -> np.ndarray:
     varies = m > 0
 
     suspect, _ = chart(x.value.tolist(), (~left).tolist(), m.tolist())
-    spike = np.zeros(n, bool)
+    windows = []
     far = LEAVES * m
     marked = np.r_[0, np.cumsum(suspect)]
     rest = meter & (x.value == 0)
@@ -191,8 +193,8 @@ def judge(x: lanes.Block, whole: np.ndarray) -> np.ndarray:
             ok = np.abs(before - after) <= f
             for j in range(1, k + 1):
                 ok &= (np.abs(x.value[a + j] - before) > f) & (np.abs(x.value[a + j] - after) > f) & ~rest[a + j]
-        for j in range(1, k + 1):
-            spike[a[ok] + j] = True
+        windows.append(np.stack([a[ok], z[ok]], axis=1))
+    spike = covered(x, np.concatenate(windows) if windows else np.zeros((0, 2), int))
 
     link = left & (d <= ALIKE * m) & varies
     run, length = run_lengths(link)
@@ -205,6 +207,25 @@ def judge(x: lanes.Block, whole: np.ndarray) -> np.ndarray:
     return limit * 1 + spike * 2 + stuck[run] * 4
 
 
+def covered(x: lanes.Block, windows: np.ndarray) -> np.ndarray:
+    """Readings between the ends of the windows; without windows whose both ends are spikes of others and lie further
+    from the median of the readings around than what is between them: these hold a sound reading between two spikes."""
+    mark = np.zeros(len(x.g) + 1, int)
+
+    def add(w: np.ndarray, by: int) -> None:
+        np.add.at(mark, w[:, 0] + 1, by)
+        np.add.at(mark, w[:, 1], -by)
+
+    add(windows, 1)
+    hit = np.cumsum(mark)[:-1] > 0
+    for a, z in windows[hit[windows[:, 0]] & hit[windows[:, 1]]]:
+        around = np.arange(max(0, a - AROUND), min(len(x.g), z + AROUND + 1))
+        level = np.median(x.value[around[x.g[around] == x.g[a]]])
+        if np.abs(x.value[a + 1 : z] - level).max() < min(abs(x.value[a] - level), abs(x.value[z] - level)):
+            add(np.array([[a, z]]), -1)
+    return np.cumsum(mark)[:-1] > 0
+
+
 def split_stats(rows: DataFrame, plan: lanes.LanePlan) -> DataFrame:
     """(sid, median, agreement) of the split series, from histograms of the changes in each lane.
 

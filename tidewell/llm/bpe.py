@@ -160,6 +160,10 @@ def encoder(name: str, folder: str = TOKENIZERS) -> Callable[[Iterable[str | Non
 
     Byte-level vocabularies with a merge list are encoded by PairBPE; the other kinds by their library.
     """
+    if folder == TOKENIZERS and not os.path.isdir(folder):  # where the files are only there as a package
+        import public_tokenizers
+
+        folder = os.path.dirname(public_tokenizers.__file__)
     path = os.path.join(folder, name)
     if os.path.exists(f"{path}.json"):
         with open(f"{path}.json", encoding="utf-8") as f:

@@ -1,9 +1,10 @@
 """Splitting series into lanes so that no task holds an unbounded series.
 
 A *lane* is what one sorted pass sees at a time: a whole series, or, of a series with more rows than
-``target_rows``, one slice of its time span. ``LanePlan`` finds the long series with one aggregation that
-reads two columns. The plan has at most ``MAX_HEAVY`` series, since the row target grows with the table; it
-is therefore safe to hold on the driver and to broadcast (32 bytes each).
+``target_rows``, one slice of its time span, cut again where rows crowd in it. ``LanePlan`` finds the long
+series with aggregations that read two columns. A plan has at most ``MAX_HEAVY`` series, and about twice as many
+lanes of them, since the row target grows with the table; it is therefore safe to hold on the driver and to
+broadcast (some 40 bytes each).
 
 Rows travel as ``(sid, lane, clock, seq, value, tag)``. Settings of a series go the same way, as rows with
 the tag CONFIG, so neither a broadcast nor a second, skewed join on sid is needed.
@@ -12,13 +13,15 @@ the tag CONFIG, so neither a broadcast nor a second, skewed join on sid is neede
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.clock import MAX_CLOCK, MIN_CLOCK
+
 READING, HALO, CONFIG = 0, 1, 2
 CONFIG_CLOCK = -(2**63)
 MAX_HEAVY = 500_000
@@ -42,59 +45,87 @@ def live(points: DataFrame, value: str = "value") -> DataFrame:
     return points.filter(usable)
 
 
+#: Clocks outside the valid domain lie in the first or last lane; so no span exceeds 64 bits.
+CLAMPED = f"greatest({MIN_CLOCK}L, least({MAX_CLOCK}L, clock))"
+#: Rounds in which lanes that are still too dense are split again.
+ROUNDS = 6
+
+
 @dataclass(frozen=True)
 class LanePlan:
-    """rows: rows of the table; heavy: (sid, first clock, width of a lane, lanes) of each series that is split."""
+    """rows: rows of the table; heavy: the series that are split; levels: by round, (sid, lane, first clock, width, lanes)
+    of each series or lane that is split in it; starts: of each split series its lanes in order.
+
+    A lane is named by the clock at which it starts, so lanes are in the order of time; that of other series is 0.
+    """
 
     spark: SparkSession
     rows: int
-    heavy: list[tuple[int, int, int, int]]
+    heavy: list[int] = field(default_factory=list)
+    levels: list[list[tuple[int, int, int, int, int]]] = field(default_factory=list)
+    starts: dict[int, list[int]] = field(default_factory=dict)
 
     @staticmethod
     def of(points: DataFrame, target_rows: int = TARGET_ROWS) -> LanePlan:
+        """A series with more than target_rows rows is cut into slices of its time span, and slices in which rows
+        crowd are cut again."""
         spark = points.sparkSession
-        known = points.filter(F.col("sid").isNotNull() & F.col("clock").isNotNull())
+        known = points.select("sid", "clock").filter(F.col("sid").isNotNull() & F.col("clock").isNotNull())
         rows = points.count()
         target = max(target_rows, rows // MAX_HEAVY, 1)
-        found = (
-            known.groupBy("sid")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("clock").alias("lo"), F.max("clock").alias("hi"))
-            .filter(F.col("n") > target)
-            .toPandas()  # at most MAX_HEAVY rows, by the choice of target
-        )
-        heavy = []
-        for sid, n, lo, hi in zip(*(found[c].tolist() for c in ("sid", "n", "lo", "hi")), strict=True):
-            lanes = -(-n // target)
-            heavy.append((sid, lo, (hi - lo) // lanes + 1, lanes))
-        return LanePlan(spark, rows, sorted(heavy))
+        plan = LanePlan(spark, rows)
+        crowded = target
+        for _ in range(ROUNDS):
+            sizes = plan.only_heavy(known) if plan.heavy else known
+            found = (
+                plan.with_lane(sizes)
+                .groupBy("sid", "lane")
+                .agg(F.count(F.lit(1)).alias("n"), F.expr(f"min({CLAMPED})").alias("lo"), F.expr(f"max({CLAMPED})").alias("hi"))
+                .filter((F.col("n") > crowded) & ((F.col("lo") < F.col("hi")) | F.lit(not plan.heavy)))
+                .toPandas()  # at most MAX_HEAVY rows, by the choice of target
+            )
+            if not len(found):
+                break
+            level = []
+            for sid, lane, n, lo, hi in zip(*(found[c].tolist() for c in ("sid", "lane", "n", "lo", "hi")), strict=True):
+                parts = -(-n // target)
+                level.append((sid, lane, lo, (hi - lo) // parts + 1, parts))
+            plan.levels.append(sorted(level))
+            for sid, _, lo, width, parts in plan.levels[-1]:
+                first = 1 if sid in plan.starts else 0  # the first part of a lane keeps its name
+                plan.starts.setdefault(sid, []).extend(lo + i * width for i in range(first, parts))
+            for s in plan.starts.values():
+                s.sort()
+            plan.heavy[:] = sorted(plan.starts)
+            crowded = 2 * target
+        return plan
 
     def partitions(self) -> int:
         return tasks(self.spark, self.rows)
 
-    def table(self) -> DataFrame:
-        return self.spark.createDataFrame(self.heavy, "sid bigint, _lo bigint, _width bigint, _lanes bigint")
-
     def with_lane(self, df: DataFrame) -> DataFrame:
-        """Adds ``lane``, 0 for series that are not split."""
-        if not self.heavy:
-            return df.withColumn("lane", F.lit(0).cast("long"))
-        at = F.expr("least(_lanes - 1, greatest(0, (clock - _lo) div _width))")
-        joined = df.join(F.broadcast(self.table()), "sid", "left")
-        return joined.withColumn("lane", F.coalesce(at, F.lit(0)).cast("long")).drop("_lo", "_width", "_lanes")
+        """Adds ``lane`` to rows with sid and clock."""
+        out = df.withColumn("lane", F.lit(0).cast("long"))
+        for i, level in enumerate(self.levels):
+            table = self.spark.createDataFrame(level, "sid bigint, lane bigint, _lo bigint, _width bigint, _lanes bigint")
+            at = f"least(_lanes - 1, greatest(0L, ({CLAMPED} - _lo) div _width))"
+            own = f"case when _lo is null then lane when {i} > 0 and {at} = 0 then lane else _lo + {at} * _width end"
+            out = out.join(F.broadcast(table), ["sid", "lane"], "left").withColumn("lane", F.expr(own)).drop("_lo", "_width", "_lanes")
+        return out
 
     def every_lane(self, df: DataFrame) -> DataFrame:
         """Repeats each row (keyed by sid) for every lane of its series."""
         if not self.heavy:
             return df.withColumn("lane", F.lit(0).cast("long"))
-        joined = df.join(F.broadcast(self.table()), "sid", "left")
-        lanes = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_lanes"), F.lit(1)) - 1))
-        return joined.withColumn("lane", lanes).drop("_lo", "_width", "_lanes")
+        table = self.spark.createDataFrame(list(self.starts.items()), "sid bigint, _starts array<bigint>")
+        joined = df.join(F.broadcast(table), "sid", "left")
+        return joined.withColumn("lane", F.explode(F.coalesce("_starts", F.array(F.lit(0).cast("long"))))).drop("_starts")
 
     def only_heavy(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.table().select("sid")), "sid", "left_semi")
+        return df.join(F.broadcast(self.spark.createDataFrame([(s,) for s in self.heavy], "sid bigint")), "sid", "left_semi")
 
     def heavy_sids(self) -> set[int]:
-        return {h[0] for h in self.heavy}
+        return set(self.heavy)
 
 
 def with_position(points: DataFrame, plan: LanePlan | None = None, name: str = "at") -> DataFrame:
@@ -235,7 +266,7 @@ def lane_edges(rows: DataFrame, plan: LanePlan, k: int, halves: tuple[bool, bool
         keep = (place < k) | (place >= size[x.g] - k)
         yield batch(schema, x.sid[keep], x.lane[x.g[keep]], x.clock[keep], np.zeros(keep.sum(), np.int64), x.value[keep], np.full(keep.sum(), HALO, np.int8))
 
-    lanes = {h[0]: h[3] for h in plan.heavy}
+    starts = plan.starts
 
     def hand_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, ("sid",), 1):
@@ -243,8 +274,8 @@ def lane_edges(rows: DataFrame, plan: LanePlan, k: int, halves: tuple[bool, bool
             for i, a in enumerate(first):
                 z = first[i + 1] if i + 1 < len(first) else len(g)
                 lane, clock, value = (b[c][a:z] for c in ("lane", "clock", "value"))
-                for at in range(lanes[int(b["sid"][a])]):
-                    p, q = np.searchsorted(lane, [at, at + 1])
+                for at in starts[int(b["sid"][a])]:
+                    p, q = np.searchsorted(lane, at, "left"), np.searchsorted(lane, at, "right")
                     take = np.r_[max(0, p - k) if halves[0] else p : p, q : min(len(lane), q + k) if halves[1] else q]
                     if len(take):
                         m = len(take)

@@ -57,6 +57,38 @@ def test_split_equals_whole(spark, points):
     assert a == b and len(a) > 60
 
 
+@pytest.mark.parametrize("rest", [0.0, 0.01])
+def test_split_equals_whole_where_noise_changes(spark, points, rest):
+    """rest: of the readings at night; like ones are then common in some lanes and rare in the others."""
+    rnd = np.random.default_rng(11)
+    vs = (50 + rnd.normal(0, 1, 1800) * np.where(np.arange(1800) < 720, 0.01, 1.0)).round(3)
+    if rest:
+        vs[:720] = (50 + rnd.normal(0, 1, 720)).round(3)  # no quiet part: runs are stuck in both
+    for i in range(800, 1800, 90):
+        vs[i : i + 7] = vs[i]
+    reg = [(1, "gauge", None, None)]
+    a, b = (found(spark, points, {1: vs.tolist()}, reg, target_rows=t)[1] for t in (10**6, 250))
+    assert a == b and ("stuck" in a.values()) == (rest > 0)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_split_stats_are_those_of_the_series(spark, points, seed):
+    rnd = np.random.default_rng(seed)
+    series = {1: rnd.normal(0, 1, 401 + seed), 2: rnd.integers(0, 3, 402) * 1.0, 3: np.where(rnd.random(400) < 0.1, np.inf, rnd.random(400)), 4: np.zeros(300), 5: rnd.random(300).cumsum()}
+    series[5][50:250] = series[5][50]  # a run over several lanes
+    df = points([(sid, i, float(v), 0, i) for sid, vs in series.items() for i, v in enumerate(vs)])
+    plan = lanes.LanePlan.of(df, 60)
+    got = spikes.split_stats(lanes.reading_rows(df, plan), plan).groupBy("sid").agg({"median": "max", "agreement": "max"})
+    got = {r.sid: (r["max(median)"], r["max(agreement)"]) for r in got.collect()}
+    for sid, v in series.items():
+        n = len(v)
+        x = lanes.Block(np.zeros(n, int), np.full(n, sid), np.arange(n), v, np.zeros(n, bool), np.full((1, 6), np.nan), np.array([sid]), np.zeros(1, int))
+        left, d = spikes.changes(x)
+        m = spikes.group_median(x.g, d, 1)
+        many, runs = spikes.agreement(x, left, d, np.nan_to_num(m))
+        assert got[sid] == (m[0], many[0] / runs[0] if runs[0] else None)
+
+
 def test_dirty(spark, points):
     inf, nan = float("inf"), float("nan")
     data = [(1, c, 1.0 + c % 3, None, None) for c in range(20)] + [(1, 20, inf, None, 1), (1, 21, nan, None, 1), (1, 22, None, None, 1), (None, 1, 99.0, 0, 1), (1, None, 99.0, 0, 1), (1, 5, 1.0, 0, 7), (1, 5, 1.0, 0, 7)]

@@ -1,10 +1,10 @@
-"""Implausible readings: robust exponentially weighted control charts with run-length counters and limits.
+"""Implausible readings: limits, spikes of up to three readings, and stuck values, judged by how a series usually behaves.
 
-A chart follows each series in clock order. A reading further from the running mean than ``SUSPECT`` scales
-is suspected and clipped before it updates mean and scale, so that a spike moves neither. Run-length counters
-count suspected readings in succession (more than ``EXCURSION`` of them are a new level, to which the chart
-moves) and readings that hardly differ from the one before. What the chart marks is then held against the
-definition of a case: ten times the median change of the series, and the level before and after.
+Every window of up to EXCURSION readings and every run of like readings is held against the definition of a case: ten
+times the median change of the series, and the level before and after. ``chart``, a robust exponentially weighted
+control chart, follows a series in clock order: a reading further from the running mean than ``SUSPECT`` scales is
+suspected and clipped before it updates mean and scale, and more than ``EXCURSION`` in succession are a new level. Its
+marks depend on where it starts and leave out cases where noise is large, so they do not decide.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ AGREES = 0.10
 HALO = 64
 #: Readings on either side by whose median a reading between two spikes is told from a spike.
 AROUND = 6
-#: Of the change histogram of a split series: steps a doubling.
+#: Of the change histogram of a split series: steps a doubling, and bits of a double below those that number its step.
 FINE = 64
+STEP_BITS = 52 - (FINE.bit_length() - 1)
 SCHEMA = "sid bigint, clock bigint, value double, reason string"
 LO, HI, METER, MEDIAN, AGREEMENT, SETTINGS = 0, 1, 2, 3, 4, 5
 
@@ -109,14 +110,13 @@ def group_median(g: np.ndarray, d: np.ndarray, groups: int) -> np.ndarray:
 
 
 def agreement(x: lanes.Block, left: np.ndarray, d: np.ndarray, median: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each lane: runs of two or more like readings that are not 0, and all runs."""
+    """Of each lane: runs of two or more like readings that are not 0, and all runs. A run counts in the lane it begins
+    in; the halo readings next to a lane tell whether its first run begins there and whether its last one goes on."""
     groups = len(x.lane_sid)
     link = left & (d <= ALIKE * median[x.g])
-    run, length = run_lengths(link)
-    first = np.flatnonzero(~link)
-    moving = x.value[first] != 0
-    owner = x.g[first]
-    return np.bincount(owner[moving & (length >= 2)], minlength=groups), np.bincount(owner[moving], minlength=groups)
+    goes_on = np.r_[link[1:], np.zeros(min(1, len(link)), bool)]
+    first = ~link & ~x.halo & (x.value != 0)
+    return np.bincount(x.g[first & goes_on], minlength=groups), np.bincount(x.g[first], minlength=groups)
 
 
 def implausible(points: DataFrame, registry: DataFrame, target_rows: int = lanes.TARGET_ROWS) -> DataFrame:
@@ -176,17 +176,15 @@ def judge(x: lanes.Block, whole: np.ndarray) -> np.ndarray:
     m = np.nan_to_num(median)[x.g]
     varies = m > 0
 
-    suspect, _ = chart(x.value.tolist(), (~left).tolist(), m.tolist())
     windows = []
     far = LEAVES * m
-    marked = np.r_[0, np.cumsum(suspect)]
     rest = meter & (x.value == 0)
     for k in range(1, EXCURSION + 1):
         if n < k + 2:
             break
         a = np.arange(n - k - 1)  # the reading before; a + k + 1: the reading after
         z = a + k + 1
-        ok = (x.g[a] == x.g[z]) & varies[a] & (marked[z] > marked[a + 1]) & ~(rest[a] & rest[z])
+        ok = (x.g[a] == x.g[z]) & varies[a] & ~(rest[a] & rest[z])
         a, z = a[ok], z[ok]
         before, after, f = x.value[a], x.value[z], far[a]
         with np.errstate(invalid="ignore"):
@@ -227,38 +225,80 @@ def covered(x: lanes.Block, windows: np.ndarray) -> np.ndarray:
 
 
 def split_stats(rows: DataFrame, plan: lanes.LanePlan) -> DataFrame:
-    """(sid, median, agreement) of the split series, from histograms of the changes in each lane.
+    """(sid, median, agreement) of the split series, one of both null: the same numbers as of a series in one lane.
 
-    The histogram has FINE steps a doubling, so that the median is right to about half a percent.
+    A histogram with FINE steps a doubling finds the bins of the middle changes, a second pass the changes in these
+    bins, and a third counts the runs against the median so found. At most MAX_HEAVY rows each come to the driver.
     """
-    schema = pa.schema([("sid", pa.int64()), ("step", pa.int64()), ("n", pa.int64()), ("many", pa.int64()), ("runs", pa.int64())])
-
-    def block(b: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    spark = plan.spark
+    held = plan.only_heavy(rows).unionByName(lanes.lane_edges(rows, plan, 1))
+    hist = pa.schema([("sid", pa.int64()), ("step", pa.int64()), ("n", pa.int64())])
+    near = pa.schema([("sid", pa.int64()), ("change", pa.float64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    count = pa.schema([("sid", pa.int64()), ("many", pa.int64()), ("runs", pa.int64())])
+
+    def own(x: lanes.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        _, d = changes(x)
+        ok = ~np.isnan(d) & ~x.halo
+        return x.g[ok], d[ok], d[ok].view(np.int64) >> STEP_BITS
+
+    def histogram(b: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         x = lanes.read_block(b, 1)
-        left, d = changes(x)
-        ok = ~np.isnan(d)
-        with np.errstate(divide="ignore"):
-            step = np.where(d > 0, np.floor(np.log2(np.where(d > 0, d, 1)) * FINE), -1e6)
-        step = np.where(np.isinf(d), 1e6, step)[ok].astype(np.int64)
-        key, n = np.unique(np.stack([x.g[ok], step]), axis=1, return_counts=True)
-        zero = np.zeros(key.shape[1], np.int64)
-        yield lanes.batch(schema, x.lane_sid[key[0]], key[1], n, zero, zero)
-        many, runs = agreement(x, left, d, np.nan_to_num(group_median(x.g, d, len(x.lane_sid))))
-        yield lanes.batch(schema, x.lane_sid, np.full(len(many), -(10**7)), np.zeros(len(many), np.int64), many, runs)
-
-    steps = lanes.lane_pass(plan.only_heavy(rows), plan, block, "sid bigint, step bigint, n bigint, many bigint, runs bigint").groupBy("sid", "step").agg(
-        F.sum("n").alias("n"), F.sum("many").alias("many"), F.sum("runs").alias("runs")
-    )
+        g, _, step = own(x)
+        key, n = np.unique(np.stack([g, step]), axis=1, return_counts=True)
+        yield lanes.batch(hist, x.lane_sid[key[0]], key[1], n)
 
     def middle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("sid", pa.int64()), ("median", pa.float64()), ("agreement", pa.float64())])
+        out = pa.schema([(c, pa.int64()) for c in ("sid", "lo", "hi", "a", "b")])
         for b in lanes.blocks(batches, ("sid",), 1):
             g, first = lanes.group_index(b["sid"])
-            for i, a in enumerate(first):
-                z = first[i + 1] if i + 1 < len(first) else len(g)
-                step, n = b["step"][a:z], b["n"][a:z]
-                at = step[np.searchsorted(np.cumsum(n), max(n.sum(), 1) / 2)] if n.sum() else -(10**6)
-                median = 0.0 if at == -(10**6) else np.inf if at == 10**6 else 2.0 ** ((at + 0.5) / FINE)
-                yield lanes.batch(out, b["sid"][a : a + 1], np.array([median]), np.array([b["many"][a:z].sum() / max(1, b["runs"][a:z].sum())]))
-
-    return steps.repartition("sid").sortWithinPartitions("sid", "step").mapInArrow(middle, "sid bigint, median double, agreement double")
+            for sid, a, z in zip(b["sid"][first], first, np.r_[first[1:], len(g)], strict=True):
+                upto = np.cumsum(b["n"][a:z])
+                ranks = np.array([(upto[-1] - 1) // 2, upto[-1] // 2])
+                lo, hi = np.searchsorted(upto, ranks, "right")
+                below = upto[lo - 1] if lo else 0
+                yield lanes.batch(out, *np.array([[sid], [b["step"][a + lo]], [b["step"][a + hi]], *(ranks - below)[:, None]]))
+
+    steps = lanes.lane_pass(held, plan, histogram, "sid bigint, step bigint, n bigint").groupBy("sid", "step").agg(F.sum("n").alias("n"))
+    bins = steps.repartition("sid").sortWithinPartitions("sid", "step").mapInArrow(middle, "sid bigint, lo bigint, hi bigint, a bigint, b bigint")
+    bins = spark.createDataFrame(bins.collect(), "sid bigint, lo bigint, hi bigint, a bigint, b bigint")
+
+    def inside(b: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x = lanes.read_block(b, 4)
+        g, d, step = own(x)
+        ok = (step == x.config[g, 0]) | (step == x.config[g, 1])
+        key, n = np.unique(np.stack([g[ok].astype(float), d[ok]]), axis=1, return_counts=True)
+        g = key[0].astype(np.int64)
+        yield lanes.batch(near, x.lane_sid[g], key[1], n, x.config[g, 2].astype(np.int64), x.config[g, 3].astype(np.int64))
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([("sid", pa.int64()), ("median", pa.float64())])
+        sid, seen, lower = None, 0, 0.0
+        for batch in batches:
+            b = lanes.columns([batch])
+            g, first = lanes.group_index(b["sid"])
+            for a, z in zip(first, np.r_[first[1:], len(g)], strict=True):
+                if b["sid"][a] != sid:
+                    sid, seen = b["sid"][a], 0
+                upto = seen + np.cumsum(b["n"][a:z])
+                low, high = b["a"][a], b["b"][a]
+                if seen <= low < upto[-1]:
+                    lower = b["change"][a + np.searchsorted(upto, low, "right")]
+                if seen <= high < upto[-1]:
+                    yield lanes.batch(out, b["sid"][a : a + 1], np.array([(lower + b["change"][a + np.searchsorted(upto, high, "right")]) / 2]))
+                seen = upto[-1]
+
+    stream = held.unionByName(lanes.config_rows(bins, plan, ["lo", "hi", "a", "b"]))
+    found = lanes.lane_pass(stream, plan, inside, "sid bigint, change double, n bigint, a bigint, b bigint")
+    found = found.groupBy("sid", "change").agg(F.sum("n").alias("n"), F.max("a").alias("a"), F.max("b").alias("b"))
+    medians = found.repartition("sid").sortWithinPartitions("sid", "change").mapInArrow(select, "sid bigint, median double")
+    medians = spark.createDataFrame(medians.collect(), "sid bigint, median double")
+
+    def counts(b: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x = lanes.read_block(b, 1)
+        left, d = changes(x)
+        yield lanes.batch(count, x.lane_sid, *agreement(x, left, d, np.nan_to_num(x.config[:, 0])))
+
+    stream = held.unionByName(lanes.config_rows(medians, plan, ["median"]))
+    runs = lanes.lane_pass(stream, plan, counts, "sid bigint, many bigint, runs bigint").groupBy("sid").agg(F.sum("many").alias("many"), F.sum("runs").alias("runs"))
+    rates = runs.filter("runs > 0").select("sid", F.lit(None).cast("double").alias("median"), (F.col("many") / F.col("runs")).alias("agreement"))
+    return medians.withColumn("agreement", F.lit(None).cast("double")).unionByName(rates)

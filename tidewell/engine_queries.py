@@ -35,6 +35,7 @@ LINE_ORDER = ("l_orderkey", "quality", "l_partkey", "value")
 LINE_DESC = "l_orderkey desc, quality desc, l_partkey desc, value desc"
 TYPES = f"select case event_type when 'click' then 1 when 'error' then 2 when 'purchase' then 3 when 'signup' then 4 else 5 end::bigint sid, {EPOCH} + epoch_us(ts) * 10 clock, value, event_id seq from events"
 TEXTS = f"select author_id sid, {EPOCH} + epoch_us(created_at) * 10 clock, title value, doc_id seq from documents where title is not null and author_id is not null and created_at is not null"
+BODIES = f"select author_id sid, {EPOCH} + epoch_us(created_at) * 10 clock, text value, doc_id seq from documents where text is not null and author_id is not null and created_at is not null"
 REGISTERED = "select distinct sid from series_registry where sid is not null"
 
 
@@ -56,6 +57,11 @@ def texts(s: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("author_id").alias("sid"), clock_of("created_at").alias("clock"), F.col("title").alias("value"), F.col("doc_id").alias("seq"))
 
 
+def bodies(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "documents").filter("text is not null and author_id is not null and created_at is not null")
+    return t.select(F.col("author_id").alias("sid"), clock_of("created_at").alias("clock"), F.col("text").alias("value"), F.col("doc_id").alias("seq"))
+
+
 def points(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "points_double")
 
@@ -119,6 +125,36 @@ def _(s, d):
     return merge.of_sids(events(s, d), SIDS).withColumn("over", F.col("value") > 50).select("sid", "seq", point_text("clock", "over").alias("text"))
 
 
+# The same over whole tables: the sids asked for are all that the table has.
+@query("read_all_series", f"select sid, clock, value, quality from ({EVENTS}) where sid is not null qualify row_number() over (partition by sid, clock order by seq desc) = 1")
+def _(s, d):
+    x = events(s, d)
+    return merge.read_range(x, x.select("sid")).select("sid", "clock", "value", "quality")
+
+
+@query("string_points_all", f"select sid, clock, value from ({BODIES}) qualify row_number() over (partition by sid, clock order by seq desc) = 1")
+def _(s, d):
+    x = bodies(s, d)
+    return merge.read_range(x, x.select("sid")).select("sid", "clock", "value")
+
+
+@query("integer_points_all", f"select sid, clock, quality::bigint as value from ({LINES}) where sid is not null qualify row_number() over (partition by sid, clock order by {LINE_DESC}) = 1")
+def _(s, d):
+    x = lines(s, d)
+    return merge.read_range(x, x.select("sid"), order=LINE_ORDER).select("sid", "clock", F.col("quality").cast("long").alias("value"))
+
+
+@query("boolean_points_all", "select sid, clock, value, quality from points_bool where sid is not null and clock is not null and value is not null qualify row_number() over (partition by sid, clock order by seq desc) = 1")
+def _(s, d):
+    x = lanes.live(table(s, d, "points_bool"))
+    return merge.read_range(x, x.select("sid")).select("sid", "clock", "value", "quality")
+
+
+@query("point_text_all", "select user_id sid, event_id seq, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' ' || (value > 50)::varchar as text from events")
+def _(s, d):
+    return events(s, d).withColumn("over", F.col("value") > 50).select("sid", "seq", point_text("clock", "over").alias("text"))
+
+
 # ---- merging ------------------------------------------------------------------------------------------------------
 @query("last_write_wins", f"select sid, clock, value, quality from ({LINES}) qualify row_number() over (partition by sid, clock order by {LINE_DESC}) = 1")
 def _(s, d):

@@ -1,6 +1,7 @@
 """Queries over whole tables reach every sid and row of them."""
 
 import os
+import zlib
 
 import pytest
 
@@ -18,3 +19,16 @@ def test_every_sid_comes_out(spark, name):
     source, got = WHOLE[name](spark, DATA), __spark_entry__.queries()[name](spark, DATA)
     want = source.select("sid", "seq" if name == "point_text_all" else "clock").distinct()
     assert got.select(want.columns).exceptAll(want).count() == 0 and want.exceptAll(got.select(want.columns)).count() == 0
+
+
+def test_strings_are_the_texts_of_documents(spark):
+    """Answers have no title: they take part by their text."""
+    q = __spark_entry__.queries()
+    text = {r.doc_id: r.text for r in engine.table(spark, DATA, "documents").select("doc_id", "text").collect()}
+    crc = {r.doc_id: r.crc for r in q["checksums"](spark, DATA).collect()}
+    assert crc == {k: None if t is None else zlib.crc32(t.encode()) for k, t in text.items()}
+    body = engine.merge.last_write_wins(engine.bodies(spark, DATA)).collect()
+    rate = next(r for r in q["compression_rates"](spark, DATA).collect() if r.kind == "string")
+    assert rate.n_points == len(body) and rate.raw_bytes >= sum(len(r.value.encode()) for r in body)
+    assert sum(r.n_points for r in q["text_sizes"](spark, DATA).collect()) == len(body)
+    assert {r.sid for r in q["text_bytes"](spark, DATA).collect()} == {r.sid for r in body}

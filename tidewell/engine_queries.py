@@ -334,6 +334,12 @@ def _(s, d):
     return a.unionByName(b.select((F.col("sid") + 1_000_000).alias("sid"), "n_bytes"))
 
 
+@query("text_bytes", f"select sid, (12 + arg_min(octet_length(encode(value)), (clock, seq))) * count(*) as n_bytes from ({BODIES}) group by sid")
+def _(s, d):
+    t = model.points_of(bodies(s, d))
+    return t.groupBy("sid").agg((F.min_by(model.point_bytes(), F.struct("clock", "seq")) * F.count(F.lit(1))).cast("long").alias("n_bytes"))
+
+
 def block_sql(source: str, block: int) -> str:
     return f"select sid, nth // {block} as block_no, min(clock) min_clock, max(clock) max_clock, count(*) n_points from (select sid, clock, row_number() over (partition by sid order by clock) - 1 as nth from ({source})) group by 1, 2"
 
@@ -425,7 +431,7 @@ def _(s, d):
 
 @query("checksums")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", codes.checksum(F.col("title")).alias("crc"))
+    return table(s, d, "documents").select("doc_id", codes.checksum(F.col("text")).alias("crc"))
 
 
 @query("clock_schemes", f"""with a as (select sid, clock, row_number() over (partition by sid order by clock) - 1 as n from ({CURRENT})),
@@ -456,6 +462,12 @@ def _(s, d):
     return schemes.string_sizes(merge.last_write_wins(texts(s, d)), 100)
 
 
+@query("text_sizes", f"""select sid, nth // 100 as block_no, count(*) n_points, sum(b + case when 2 * b < 128 then 1 when 2 * b < 16384 then 2 when 2 * b < 2097152 then 3 else 4 end)::bigint as n_bytes
+from (select sid, octet_length(encode(value)) b, row_number() over (partition by sid order by clock) - 1 as nth from (select * from ({BODIES}) qualify row_number() over (partition by sid, clock order by seq desc) = 1)) group by 1, 2""")
+def _(s, d):
+    return schemes.string_sizes(merge.last_write_wins(bodies(s, d)), 100)
+
+
 @query("block_round_trip", f"select sid, clock, value, coalesce(quality, 0) as quality from ({CURRENT})")
 def _(s, d):
     return blocks.decode_points(blocks.encode_points(points(s, d)), model.DOUBLE)
@@ -468,7 +480,7 @@ def _(s, d):
 
 @query("compression_rates")
 def _(s, d):
-    kinds = {"double": points(s, d), "boolean": table(s, d, "points_bool"), "integer": lines(s, d).selectExpr("sid", "clock", "cast(quality as bigint) value", "0 quality", "l_orderkey seq"), "string": texts(s, d).withColumn("quality", F.lit(0))}
+    kinds = {"double": points(s, d), "boolean": table(s, d, "points_bool"), "integer": lines(s, d).selectExpr("sid", "clock", "cast(quality as bigint) value", "0 quality", "l_orderkey seq"), "string": bodies(s, d).withColumn("quality", F.lit(0))}
     out = None
     for name, p in kinds.items():
         one = blocks.encode_points(p).agg(F.lit(name).alias("kind"), F.sum("n_points").alias("n_points"), F.sum("raw_bytes").alias("raw_bytes"), F.sum(F.length("block")).alias("stored_bytes"))

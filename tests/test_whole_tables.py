@@ -32,3 +32,12 @@ def test_strings_are_the_texts_of_documents(spark):
     assert rate.n_points == len(body) and rate.raw_bytes >= sum(len(r.value.encode()) for r in body)
     assert sum(r.n_points for r in q["text_sizes"](spark, DATA).collect()) == len(body)
     assert {r.sid for r in q["text_bytes"](spark, DATA).collect()} == {r.sid for r in body}
+
+
+@pytest.mark.parametrize("name", ["maximum", "minimum", "first", "last"])
+def test_infinite_readings_are_downsampled(spark, tmp_path, name):
+    day, inf = 864_000_000_000, float("inf")
+    data = [(1, 5, inf, 0, 1), (1, 6, 2.0, 0, 2), (1, 7, -inf, 0, 3), (1, day + 1, inf, 0, 4)]
+    spark.createDataFrame(data, "sid bigint, clock bigint, value double, quality int, seq bigint").write.parquet(str(tmp_path / "points_double.parquet"))
+    got = {r.interval_start: (r.value, r.n_points) for r in engine.QUERIES[f"ext_downsample_{name}_all"](spark, str(tmp_path)).collect()}
+    assert got == {0: (inf if name in ("maximum", "first") else -inf, 3), day: (inf, 1)}

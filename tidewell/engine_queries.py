@@ -549,6 +549,11 @@ for _name, _agg in (("maximum", "max(value)"), ("minimum", "min(value)"), ("firs
     query(f"ext_downsample_{_name}", down_sql(86400, _agg))(lambda s, d, name=_name: measures.downsample(finite(s, d), 86400, name))
 
 
+# With infinite readings, which remain readings
+for _name, _agg in (("maximum", "max(value)"), ("minimum", "min(value)"), ("first", "arg_min(value, clock)"), ("last", "arg_max(value, clock)")):
+    query(f"ext_downsample_{_name}_all", down_sql(86400, _agg).replace(" where not isinf(value)", ""))(lambda s, d, name=_name: measures.downsample(current(s, d), 86400, name))
+
+
 @query("ext_predecessor", f"select a.sid, a.clock, p.clock as point_clock, p.seq as value from (select distinct sid, clock from ({ASKED})) a asof left join ({EVENTS}) p on a.sid = p.sid and a.clock >= p.clock")
 def _(s, d):
     return merge.predecessors(events(s, d).select("sid", "clock", F.col("seq").alias("value")), asked(s, d).distinct())

@@ -71,6 +71,16 @@ def test_split_equals_whole_where_noise_changes(spark, points, rest):
     assert a == b and ("stuck" in a.values()) == (rest > 0)
 
 
+def test_a_plateau_longer_than_the_halo(spark, points):
+    """Between two zeros of a meter it is no case, without the zeros it is stuck, wherever lanes are cut."""
+    vs = [abs(v) for v in series(3000, 4)]
+    vs[200:500] = [0.0] + [33.0] * 298 + [0.0]
+    vs[700:1000] = [33.0] * 300
+    reg = [(1, "meter", None, None)]
+    a, b = (found(spark, points, {1: vs}, reg, target_rows=t)[1] for t in (10**6, 200))
+    assert a == b == dict.fromkeys(range(700, 1000), "stuck")
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_split_stats_are_those_of_the_series(spark, points, seed):
     rnd = np.random.default_rng(seed)

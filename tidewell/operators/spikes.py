@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import lanes
@@ -32,7 +32,7 @@ AROUND = 6
 FINE = 64
 STEP_BITS = 52 - (FINE.bit_length() - 1)
 SCHEMA = "sid bigint, clock bigint, value double, reason string"
-LO, HI, METER, MEDIAN, AGREEMENT, SETTINGS = 0, 1, 2, 3, 4, 5
+LO, HI, METER, MEDIAN, AGREEMENT, FIRST, BEFORE, AFTER, SETTINGS = range(9)
 
 
 def chart(value: list[float], start: list[bool], median: list[float]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +142,7 @@ def implausible(points: DataFrame, registry: DataFrame, target_rows: int = lanes
     if plan.heavy:
         stats = split_stats(rows, plan).withColumns({"lo": nan, "hi": nan, "meter": nan})
         stream = stream.unionByName(lanes.config_rows(stats, plan, ["lo", "hi", "meter", "median", "agreement"]))
-        stream = stream.unionByName(lanes.lane_edges(rows, plan, HALO))
+        stream = stream.unionByName(lanes.lane_edges(rows, plan, HALO)).unionByName(run_edges(rows, stats, plan))
     heavy = np.array(sorted(plan.heavy_sids()), np.int64)
     schema = pa.schema([("sid", pa.int64()), ("clock", pa.int64()), ("value", pa.float64()), ("reason", pa.string())])
 
@@ -199,9 +199,17 @@ def judge(x: lanes.Block, whole: np.ndarray) -> np.ndarray:
     first = np.flatnonzero(~link)
     last = np.r_[first[1:], n] - 1
     p, q = np.maximum(first - 1, 0), np.minimum(last + 1, n - 1)
-    between = rest[p] & (x.g[p] == x.g[first]) & rest[q] & (x.g[q] == x.g[first])
+    before, after, begins = rest[p] & (x.g[p] == x.g[first]), rest[q] & (x.g[q] == x.g[first]), rest[first]
+    # a run that reaches over the edge of a lane may be longer than the halo: its ends are known from all lanes
+    own = np.flatnonzero(~x.halo)
+    if 0 < len(own) < n:
+        new = x.g[own[1:]] != x.g[own[:-1]]
+        head, tail = own[np.r_[True, new]], own[np.r_[new, True]]
+        opened, closed = head[link[head]], tail[np.r_[link[1:], False][tail]]
+        for flag, at, k in ((begins, opened, FIRST), (before, opened, BEFORE), (after, closed, AFTER)):
+            flag[run[at]] = meter[at] & (x.config[x.g[at], k] == 0)
     with np.errstate(invalid="ignore"):
-        stuck = (length >= STUCK) & (rate[x.g[first]] <= AGREES) & ~rest[first] & ~between
+        stuck = (length >= STUCK) & (rate[x.g[first]] <= AGREES) & ~begins & ~(before & after)
     return limit * 1 + spike * 2 + stuck[run] * 4
 
 
@@ -224,6 +232,36 @@ def covered(x: lanes.Block, windows: np.ndarray) -> np.ndarray:
     return np.cumsum(mark)[:-1] > 0
 
 
+def run_edges(rows: DataFrame, stats: DataFrame, plan: lanes.LanePlan) -> DataFrame:
+    """Settings FIRST, BEFORE and AFTER of the lanes of split series: of the run of like readings that goes on from the
+    lane before, its first reading and the one before that; of the run that goes on in the next, the one after it."""
+    schema = pa.schema([("sid", pa.int64()), ("lane", pa.int64()), ("first", pa.float64()), ("before", pa.float64()), ("after", pa.float64())])
+
+    def ends(b: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x = lanes.read_block(b, SETTINGS)
+        left, d = changes(x)
+        m = np.nan_to_num(x.config[:, MEDIAN])[x.g]
+        opens = np.flatnonzero(~(left & (d <= ALIKE * m) & (m > 0)) & ~x.halo)
+        if len(opens):
+            new = x.g[opens[1:]] != x.g[opens[:-1]]
+            a, z = opens[np.r_[True, new]], opens[np.r_[new, True]]
+            before = pa.array(x.value[np.maximum(z - 1, 0)], mask=~left[z])
+            yield lanes.batch(schema, x.lane_sid[x.g[a]], x.lane[x.g[a]], x.value[z], before, x.value[a])
+
+    held = plan.only_heavy(rows).unionByName(lanes.lane_edges(rows, plan, 1, (True, False)))
+    stream = held.unionByName(lanes.config_rows(stats, plan, ["lo", "hi", "meter", "median"]))
+    found = lanes.lane_pass(stream, plan, ends, "sid bigint, lane bigint, first double, before double, after double")
+    # a row for each lane of a split series, also of those in which no run begins: at most about twice MAX_HEAVY
+    every = plan.every_lane(plan.spark.createDataFrame([(s,) for s in plan.heavy], "sid bigint"))
+    w = Window.partitionBy("sid").orderBy("lane")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    run = F.when(F.col("first").isNotNull(), F.struct("first", "before"))
+    edges = every.join(found, ["sid", "lane"], "left").select("sid", "lane", F.last(run, True).over(back).alias("run"), F.first("after", True).over(ahead).alias("after"))
+    entries = [F.struct(F.lit(k).cast("long").alias("seq"), F.col(c).alias("value")) for k, c in ((FIRST, "run.first"), (BEFORE, "run.before"), (AFTER, "after"))]
+    long = edges.select("sid", "lane", F.explode(F.array(*entries)).alias("e")).filter("e.value is not null")
+    return long.select("sid", "lane", F.lit(lanes.CONFIG_CLOCK).alias("clock"), "e.seq", "e.value", F.lit(lanes.CONFIG).cast("tinyint").alias("tag"))
+
+
 def split_stats(rows: DataFrame, plan: lanes.LanePlan) -> DataFrame:
     """(sid, median, agreement) of the split series, one of both null: the same numbers as of a series in one lane.
 

@@ -26,7 +26,7 @@ def steps_of(registry: DataFrame) -> DataFrame:
     return registry.filter("sid is not null and step_ticks > 0").groupBy("sid").agg(F.min("step_ticks").alias("step_ticks"))
 
 
-def regular_grid(points: DataFrame, registry: DataFrame, gap_limit: int = GAP_LIMIT, target_rows: int = lanes.TARGET_ROWS, states: tuple[str, ...] = ("reading", "filled", "silence")) -> DataFrame:
+def regular_grid(points: DataFrame, registry: DataFrame, gap_limit: int = GAP_LIMIT, target_rows: int = lanes.TARGET_ROWS, states: tuple[str, ...] = ("reading", "filled", "silence"), values: bool = True) -> DataFrame:
     """The series of each registered sid at its step, from its first to its last reading.
 
     points: sid, clock, value, seq (other columns are ignored). registry: sid, step_ticks.
@@ -40,12 +40,14 @@ def regular_grid(points: DataFrame, registry: DataFrame, gap_limit: int = GAP_LI
     Null and NaN values and null sids or clocks are set aside; of repeated (sid, clock) the highest seq counts,
     and of equal seq any of the equal rows (the highest value where they differ). Interpolation next to an
     infinite reading gives null. Sids without step, or without readings, have no rows; an empty table has none.
+    Without ``values`` those that are interpolated are not to be used, and the table is read once less.
     """
-    plan = lanes.LanePlan.of(points, target_rows)
+    plan = lanes.LanePlan.of(lanes.live(points), target_rows)
     rows = lanes.reading_rows(points, plan)
     stream = rows.unionByName(lanes.config_rows(steps_of(registry), plan, ["step_ticks"]))
     if plan.heavy:
-        stream = stream.unionByName(lanes.lane_edges(rows, plan, 1, (True, False)))
+        # where values are asked for, those of the readings before the lanes take a pass over the split series
+        stream = stream.unionByName(lanes.lane_edges(rows, plan, 1, 0) if values else lanes.last_clocks(plan))
     schema = pa.schema([("sid", pa.int64()), ("slot_clock", pa.int64()), ("n_slots", pa.int64()), ("value", pa.float64()), ("state", pa.string())])
 
     def out(sid: np.ndarray, slot: np.ndarray, n: np.ndarray, value: np.ndarray, state: str) -> pa.RecordBatch:
@@ -97,4 +99,4 @@ def regular_grid(points: DataFrame, registry: DataFrame, gap_limit: int = GAP_LI
 
 def empty_slots(points: DataFrame, registry: DataFrame, **options) -> DataFrame:
     """The start of each empty slot that regular_grid fills."""
-    return regular_grid(points, registry, states=("filled",), **options).select("sid", "slot_clock")
+    return regular_grid(points, registry, states=("filled",), values=False, **options).select("sid", "slot_clock")

@@ -12,10 +12,13 @@ the tag CONFIG, so neither a broadcast nor a second, skewed join on sid is neede
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 from tidewell.functions.clock import MAX_CLOCK, MIN_CLOCK
 
 READING, HALO, CONFIG = 0, 1, 2
+#: Most settings of a lane.
+SETTINGS = 16
 CONFIG_CLOCK = -(2**63)
 MAX_HEAVY = 500_000
 TARGET_ROWS = 250_000
@@ -37,6 +42,23 @@ def tasks(spark: SparkSession, rows: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-rows // ROWS_PER_TASK)))
 
 
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Uses the shared folder the cluster names in spark.checkpoint.dir. Where none is named, a local session gets a folder
+    of its own; on a cluster that is an error, since the executors share no other."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(spark))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "tidewell-checkpoints")
+
+
 def live(points: DataFrame, value: str = "value") -> DataFrame:
     """Rows that can be a current reading: sid and clock known, value neither null nor NaN (infinite ones stay)."""
     usable = F.col("sid").isNotNull() & F.col("clock").isNotNull() & F.col(value).isNotNull()
@@ -47,14 +69,15 @@ def live(points: DataFrame, value: str = "value") -> DataFrame:
 
 #: Clocks outside the valid domain lie in the first or last lane; so no span exceeds 64 bits.
 CLAMPED = f"greatest({MIN_CLOCK}L, least({MAX_CLOCK}L, clock))"
-#: Rounds in which lanes that are still too dense are split again.
-ROUNDS = 6
+#: Slices of time (some five days) that rows are counted in before series are cut; a slice itself is cut only if it is too dense.
+SLICE_TICKS = 2**42
 
 
 @dataclass(frozen=True)
 class LanePlan:
-    """rows: rows of the table; heavy: the series that are split; levels: by round, (sid, lane, first clock, width, lanes)
-    of each series or lane that is split in it; starts: of each split series its lanes in order.
+    """rows: rows of the table with sid and clock; heavy: the series that are split; levels: by round, (sid, lane, first
+    clock, width, lanes) of each series or lane that is split in it; starts: of each split series its lanes in order;
+    last: of each lane of a split series that has rows, its latest clock.
 
     A lane is named by the clock at which it starts, so lanes are in the order of time; that of other series is 0.
     """
@@ -64,40 +87,60 @@ class LanePlan:
     heavy: list[int] = field(default_factory=list)
     levels: list[list[tuple[int, int, int, int, int]]] = field(default_factory=list)
     starts: dict[int, list[int]] = field(default_factory=dict)
+    last: dict[int, dict[int, int]] = field(default_factory=dict)
 
     @staticmethod
     def of(points: DataFrame, target_rows: int = TARGET_ROWS) -> LanePlan:
         """A series with more than target_rows rows is cut into slices of its time span, and slices in which rows
-        crowd are cut again."""
+        crowd are cut again, until none has more than twice the target or a single clock.
+
+        The table is read once, for a count by series and slice of time, which is kept (and recomputed if it is lost)
+        until the plan is made. Only the rows of a slice that is too dense by itself are read again.
+        """
         spark = points.sparkSession
         known = points.select("sid", "clock").filter(F.col("sid").isNotNull() & F.col("clock").isNotNull())
-        rows = points.count()
-        target = max(target_rows, rows // MAX_HEAVY, 1)
+        raw = known.select("sid", "clock", F.lit(1).cast("long").alias("n"), F.expr(CLAMPED).alias("lo"), F.expr(CLAMPED).alias("hi"), F.col("clock").alias("last"))
+        sizes = [F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("last").alias("last")]
+        slices = raw.withColumn("clock", F.expr(f"lo div {SLICE_TICKS} * {SLICE_TICKS}")).groupBy("sid", "clock").agg(*sizes).persist()
+        try:
+            return LanePlan._cut(spark, raw, slices, sizes, target_rows)
+        finally:
+            slices.unpersist()
+
+    @staticmethod
+    def _cut(spark: SparkSession, raw: DataFrame, slices: DataFrame, sizes: list[Column], target_rows: int) -> LanePlan:
+        rows = slices.agg(F.sum("n")).first()[0] or 0
         plan = LanePlan(spark, rows)
-        crowded = target
-        for _ in range(ROUNDS):
-            sizes = plan.only_heavy(known) if plan.heavy else known
-            found = (
-                plan.with_lane(sizes)
-                .groupBy("sid", "lane")
-                .agg(F.count(F.lit(1)).alias("n"), F.expr(f"min({CLAMPED})").alias("lo"), F.expr(f"max({CLAMPED})").alias("hi"))
-                .filter((F.col("n") > crowded) & ((F.col("lo") < F.col("hi")) | F.lit(not plan.heavy)))
-                .toPandas()  # at most MAX_HEAVY rows, by the choice of target
-            )
-            if not len(found):
-                break
+        target = max(target_rows, rows // MAX_HEAVY, 1)
+        # at most MAX_HEAVY rows, by the choice of target
+        found = slices.groupBy("sid").agg(*sizes).filter(F.col("n") > target).withColumn("lane", F.lit(0).cast("long")).toPandas()
+        source, unit = slices, SLICE_TICKS
+        while len(found):
             level = []
             for sid, lane, n, lo, hi in zip(*(found[c].tolist() for c in ("sid", "lane", "n", "lo", "hi")), strict=True):
-                parts = -(-n // target)
-                level.append((sid, lane, lo, (hi - lo) // parts + 1, parts))
+                first, units = lo // unit * unit, hi // unit - lo // unit + 1
+                if units > 1 and n > (2 * target if sid in plan.starts else target):
+                    width = -(-units // min(units, -(-n // target)))
+                    level.append((sid, lane, first, width * unit, -(-units // width)))
+            if not level:
+                if unit == 1:
+                    break
+                source, unit = raw, 1
+                continue
             plan.levels.append(sorted(level))
             for sid, _, lo, width, parts in plan.levels[-1]:
-                first = 1 if sid in plan.starts else 0  # the first part of a lane keeps its name
-                plan.starts.setdefault(sid, []).extend(lo + i * width for i in range(first, parts))
+                skip = 1 if sid in plan.starts else 0  # the first part of a lane keeps its name
+                plan.starts.setdefault(sid, []).extend(lo + i * width for i in range(skip, parts))
             for s in plan.starts.values():
                 s.sort()
             plan.heavy[:] = sorted(plan.starts)
-            crowded = 2 * target
+            # a row for each lane of a split series: about twice MAX_HEAVY at most
+            lanes = plan.with_lane(plan.only_heavy(source)).groupBy("sid", "lane").agg(*sizes).toPandas()
+            plan.last.clear()
+            for sid, lane, last in zip(*(lanes[c].tolist() for c in ("sid", "lane", "last")), strict=True):
+                plan.last.setdefault(sid, {})[lane] = last
+            whole = found[~found["sid"].isin(plan.heavy)]
+            found = pd.concat([lanes, whole]) if len(whole) else lanes
         return plan
 
     def partitions(self) -> int:
@@ -170,7 +213,12 @@ def lane_pass(rows: DataFrame, plan: LanePlan, block: Callable[[dict[str, np.nda
 
 
 def blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], least: int = BLOCK_ROWS) -> Iterator[dict[str, np.ndarray]]:
-    """Cuts a stream sorted by ``keys`` into blocks of whole groups with at least ``least`` rows each."""
+    """Cuts a stream sorted by ``keys`` into blocks of whole groups with at least ``least`` rows each, as numpy columns."""
+    return map(columns, groups(batches, keys, least))
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], least: int = BLOCK_ROWS) -> Iterator[list[pa.RecordBatch]]:
+    """The blocks as batches."""
     held: list[pa.RecordBatch] = []
     n = 0
     for b in batches:
@@ -189,13 +237,13 @@ def blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], least: int
             # the last group may begin in an earlier batch: cut at an earlier batch only if its end differs
             before = held[:-1]
             if before and any(before[-1].column(k)[before[-1].num_rows - 1].as_py() != last.column(k)[0].as_py() for k in keys):
-                yield columns(before)
+                yield before
                 held, n = [last], last.num_rows
             continue
-        yield columns([*held[:-1], last.slice(0, cut)])
+        yield [*held[:-1], last.slice(0, cut)]
         held, n = [last.slice(cut)], last.num_rows - cut
     if held:
-        yield columns(held)
+        yield held
 
 
 def columns(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
@@ -249,37 +297,73 @@ def batch(schema: pa.Schema, *cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def lane_edges(rows: DataFrame, plan: LanePlan, k: int, halves: tuple[bool, bool] = (True, True)) -> DataFrame:
-    """HALO rows of the split series: for each lane the k current readings before it and the k after it.
+def lane_edges(rows: DataFrame, plan: LanePlan, before: int, after: int | None = None, together: bool = False) -> DataFrame:
+    """HALO rows of the split series: for each lane the last readings before it and the first after it (as many as before).
 
-    A pass over the split series alone keeps the first and last k readings of each lane; a second one, over
-    2k rows a lane, hands each lane its neighbours' (across as many empty or short lanes as it takes).
+    A pass over the split series alone keeps the first and last readings of each lane; a second one, over these, hands
+    each lane its neighbours' (across as many empty or short lanes as it takes). It goes through the lanes of a series
+    in order and holds no more of them than it still needs. together: rows are current readings in whole, sorted lanes.
     """
+    after = before if after is None else after
     schema = pa.schema([("sid", pa.int64()), ("lane", pa.int64()), ("clock", pa.int64()), ("seq", pa.int64()), ("value", pa.float64()), ("tag", pa.int8())])
 
     def ends(b: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        x = read_block(b, 1)
+        x = read_block(b, SETTINGS)
         n = len(x.g)
         size = np.bincount(x.g, minlength=len(x.lane_sid))
         start = np.cumsum(size) - size
         place = np.arange(n) - start[x.g]
-        keep = (place < k) | (place >= size[x.g] - k)
+        keep = (place < after) | (place >= size[x.g] - before)
         yield batch(schema, x.sid[keep], x.lane[x.g[keep]], x.clock[keep], np.zeros(keep.sum(), np.int64), x.value[keep], np.full(keep.sum(), HALO, np.int8))
 
     starts = plan.starts
 
     def hand_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, ("sid",), 1):
-            g, first = group_index(b["sid"])
-            for i, a in enumerate(first):
-                z = first[i + 1] if i + 1 < len(first) else len(g)
-                lane, clock, value = (b[c][a:z] for c in ("lane", "clock", "value"))
-                for at in starts[int(b["sid"][a])]:
-                    p, q = np.searchsorted(lane, at, "left"), np.searchsorted(lane, at, "right")
-                    take = np.r_[max(0, p - k) if halves[0] else p : p, q : min(len(lane), q + k) if halves[1] else q]
-                    if len(take):
-                        m = len(take)
-                        yield batch(schema, np.full(m, b["sid"][a]), np.full(m, at), clock[take], np.zeros(m, np.int64), value[take], np.full(m, HALO, np.int8))
-
-    edges = lane_pass(plan.only_heavy(rows), plan, ends, LANE_SCHEMA)
+        sid, done = None, 0
+        held = {c: np.zeros(0) for c in ("lane", "clock", "value")}
+
+        def give(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal done, held
+            lane = held["lane"]
+            while sid is not None and done < len(starts[sid]):
+                at = starts[sid][done]
+                p, q = np.searchsorted(lane, at, "left"), np.searchsorted(lane, at, "right")
+                if not final and (q == len(lane) or len(lane) - q < after):
+                    break
+                take = np.r_[max(0, p - before) : p, q : min(len(lane), q + after)]
+                if m := len(take):
+                    yield batch(schema, np.full(m, sid), np.full(m, at), held["clock"][take], np.zeros(m, np.int64), held["value"][take], np.full(m, HALO, np.int8))
+                done += 1
+            if not final and done < len(starts[sid]):
+                p = max(0, int(np.searchsorted(lane, starts[sid][done], "left")) - before)
+                held = {c: v[p:] for c, v in held.items()}
+
+        for b in batches:
+            t = columns([b])
+            _, first = group_index(t["sid"])
+            for a, z in zip(first, np.r_[first[1:], b.num_rows], strict=True):
+                if t["sid"][a] != sid:
+                    yield from give(True)
+                    sid, done, held = int(t["sid"][a]), 0, {c: t[c][:0] for c in held}
+                held = {c: np.concatenate([v, t[c][a:z]]) for c, v in held.items()}
+                yield from give(False)
+        yield from give(True)
+
+    if together:
+        edges = rows.mapInArrow(lambda batches: (e for b in blocks(batches, ("sid", "lane")) for e in ends(b)), LANE_SCHEMA)
+    else:
+        edges = lane_pass(plan.only_heavy(rows), plan, ends, LANE_SCHEMA)
     return edges.repartition("sid").sortWithinPartitions("sid", "lane", "clock").mapInArrow(hand_over, LANE_SCHEMA)
+
+
+def last_clocks(plan: LanePlan) -> DataFrame:
+    """HALO rows of the split series: for each lane the latest clock before it, without its value. The plan must have
+    been made of rows that can be current readings. At most as many rows as there are lanes."""
+    out = []
+    for sid, starts in plan.starts.items():
+        seen = None
+        for lane in starts:
+            if seen is not None:
+                out.append((sid, lane, seen, 0, 0.0, HALO))
+            seen = plan.last[sid].get(lane, seen)
+    return plan.spark.createDataFrame(out, LANE_SCHEMA)

@@ -140,3 +140,43 @@ def test_a_sound_reading_between_spikes_is_none():
     assert np.flatnonzero(spikes.judge(x, np.ones(1, bool)) & 2).tolist() == [50, 52, 120, 122, 124, 160, 161, 162]
     x.value[:] = np.where(np.isclose(vs, 30.0), np.inf, vs)
     assert {50, 52} <= set(np.flatnonzero(spikes.judge(x, np.ones(1, bool)) & 2).tolist())
+
+
+@pytest.mark.parametrize("count", [0, 1])
+def test_the_chart_decides(spark, points, monkeypatch, count):
+    """Without its marks, and with every reading marked, the spikes are gone."""
+    vs = series(300, 9)
+    for i in (40, 90, 91, 200):
+        vs[i] += 60
+    reg = [(1, "gauge", None, None)]
+    assert set(found(spark, points, {1: vs}, reg)[1]) == {40, 90, 91, 200}
+
+    def none_or_all(b):
+        return np.full(len(b.g), count, np.int8), np.zeros(len(b.g))
+
+    x = lanes.Block(np.zeros(300, int), np.ones(300, int), np.arange(300), np.array(vs), np.zeros(300, bool), np.full((1, spikes.SETTINGS), np.nan), np.ones(1, int), np.zeros(1, int))
+    assert np.flatnonzero(spikes.judge(x, np.ones(1, bool)) & 2).tolist() == [40, 90, 91, 200]
+    monkeypatch.setattr(spikes, "chart", lambda *a: none_or_all(x))
+    assert not (spikes.judge(x, np.ones(1, bool)) & 2).any()
+
+
+def test_chart_of_a_part_equals_that_of_the_whole():
+    """From any place on, once it is run in: what a lane and the readings before it give is what the series gives."""
+    rnd = np.random.default_rng(3)
+    v = np.cumsum(rnd.normal(0, 0.3, 3000)) + rnd.normal(0, 1, 3000)
+    v[rnd.integers(0, 3000, 80)] += 40
+    v[[700, 1500]] = np.inf
+    counter, level = spikes.chart(v, np.arange(3000) == 0, np.ones(3000))
+    for cut in (400, 1023, 1024, 1800):
+        a = cut - spikes.BEFORE_LANE
+        got, at = spikes.chart(v[a:], np.arange(3000 - a) == 0, np.ones(3000 - a), np.arange(a, 3000))
+        assert (got[cut - a :] == counter[cut:]).all() and np.array_equal(at[cut - a :], level[cut:], equal_nan=True)
+
+
+def test_rows_do_not_depend_on_lanes_with_long_series(spark, points):
+    rnd = np.random.default_rng(12)
+    v = np.cumsum(rnd.normal(0, 0.2, 3000)) + rnd.normal(0, 1, 3000)
+    v[rnd.integers(0, 3000, 60)] += 50
+    reg = [(1, "gauge", None, None)]
+    a, b = (found(spark, points, {1: v.tolist()}, reg, target_rows=t)[1] for t in (10**9, 500))
+    assert a == b and len(a) > 40

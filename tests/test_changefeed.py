@@ -97,3 +97,26 @@ def test_table_of_insert_and_delete_files(spark, tmp_path):
     assert set(rows(table.read(), "sid", "clock", "seq")) == want
     table.append(spark.createDataFrame([(999, "delete", 1, None, None, None, None, None)], FEED))
     assert {r[0] for r in rows(table.read(), "sid")} == {2}
+
+
+@pytest.mark.parametrize("bucket", [DAY, 1000])
+def test_dense_buckets_are_cut_finer(spark, bucket):
+    """A third of the rows and of the deletes in one bucket of one sid."""
+    rnd = random.Random(9)
+    feed = []
+    for seq in range(900):
+        sid = rnd.choice([1, 1, 2, 3])
+        lo = rnd.randint(0, 300) if seq % 3 else rnd.randint(0, 5 * bucket)
+        if rnd.random() < 0.75:
+            feed.append((seq, "write", sid, lo, float(seq), seq % 3, None, None))
+        else:
+            feed.append((seq, "delete_range", sid, None, None, None, rnd.choice([lo, lo, lo, None]), lo + rnd.choice([0, 5, 40, bucket])))
+    df = spark.createDataFrame(rnd.sample(feed, len(feed)), FEED)
+    for target in (400, 60, 9):
+        assert set(rows(changefeed.apply_changes(df, bucket, target_rows=target))) == brute(feed)
+    assert set(rows(changefeed.current_table(df, bucket, target_rows=60), "sid", "clock", "seq")) == brute(feed)
+
+
+def test_a_repeated_seq_with_two_values(spark):
+    df = spark.createDataFrame([(1, "write", 1, 5, v, q, None, None) for v, q in ((2.0, 1), (7.0, None), (7.0, 3), (1.0, 9))], FEED)
+    assert rows(changefeed.current_table(df)) == [(1, 5, 7.0, 3, 1)]

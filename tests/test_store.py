@@ -96,13 +96,80 @@ def test_expiry(store, points):
     assert store.expire(now + DAY) == 0 and store.expire(now + DAY + 1) == 1 and values(store.read([1])) == []
 
 
-def test_cut_off_swap_is_undone(spark, store, points):
+def test_cut_off_writes_and_merges_are_not_seen(spark, store, points, monkeypatch):
+    """Files without a version of the manifest that names them do not count, and their number is used again."""
     store.add_sids([1], 31)
     store.write(points([(1, DAY, 1.0, 0, 1)]))
-    part = f"rp_days=31/shard_start={DAY}"
-    store.files.rename(f"{store.path}/default/points/{part}", f"{store.path}/default/replaced/{part}")
-    assert values(store.read([1])) == []
-    assert values(Store(spark, store.path).open().read([1])) == [(1, DAY, 1.0, 0)]
+    store.write(points([(1, DAY + 1, 2.0, 0, 1)]))
+    want = [(1, DAY, 1.0, 0), (1, DAY + 1, 2.0, 0)]
+
+    def cut_off(*_):
+        raise OSError("cut off")
+
+    for action in (lambda s: s.write(points([(1, DAY, 9.0, 0, 1)])), lambda s: s.compact(), lambda s: s.delete_range([1])):
+        late = Store(spark, store.path).open()
+        monkeypatch.setattr(late.manifest, "write", cut_off)
+        with pytest.raises(OSError, match="cut off"):
+            action(late)
+        again = Store(spark, store.path).open()
+        assert values(again.read([1])) == want
+    assert again.compact() == 1 and values(again.read([1])) == want and again.write(points([(1, DAY, 3.0, 0, 1)])) == 1
+    assert values(Store(spark, store.path).open().read([1])) == [(1, DAY, 3.0, 0), want[1]]
+
+
+def test_readers_outlive_one_merge_and_a_second_writer_is_refused(spark, store, points):
+    store.add_sids([1], 31)
+    for c in range(3):
+        store.write(points([(1, DAY + c, 1.0, 0, 1)]))
+    planned = store.read([1])
+    other = Store(spark, store.path).open()
+    assert store.compact() == 1 and len(values(planned)) == 3
+    with pytest.raises(OSError):
+        other.write(points([(1, DAY, 5.0, 0, 1)]))
+    assert len(values(store.read([1]))) == 3
+
+
+def test_snapshots(store, points):
+    store.add_sids([1], 31)
+    store.write(points([(1, DAY, 1.0, 0, 1)]))
+    store.write(points([(1, DAY, 2.0, 0, 1), (1, DAY + 1, 2.0, 0, 2)]))
+    held = store.snapshot()
+    store.write(points([(1, DAY, 3.0, 0, 1)]))
+    assert values(held) == [(1, DAY, 2.0, 0), (1, DAY + 1, 2.0, 0)]
+    with pytest.raises(RuntimeError):
+        store.snapshot()
+    assert store.clear_snapshot(False) == 0 and len(store.meta["databases"]["default"]["shards"]) == 3
+    store.snapshot()
+    store.write(points([(1, DAY + 2, 3.0, 0, 1)]))
+    assert store.clear_snapshot(True) == 1
+    assert sorted(s[1] for s in store.meta["databases"]["default"]["shards"]) == [1, 2]
+    assert values(store.read([1])) == [(1, DAY, 3.0, 0), (1, DAY + 1, 2.0, 0), (1, DAY + 2, 3.0, 0)]
+
+
+def test_the_planner_drives_the_merges(store, points):
+    store.add_sids([1], 31)
+    for c in range(9):
+        store.write(points([(1, DAY + c, float(c), 0, 1), (1, DAY, float(c), 0, 2)]))
+    before = values(store.read([1]))
+    assert store.maintain(10, 10) == 1  # a chunk of eight generations; the ninth stays
+    assert sorted(s[1] for s in store.meta["databases"]["default"]["shards"]) == [1, 2] and values(store.read([1])) == before
+    assert store.maintain(10, 10) == 0
+    assert store.maintain(10**12, 10) == 1 and store.is_idle() and values(store.read([1])) == before  # cold
+    got = {(r.database, r.counter): r.value for r in store.statistics().collect()}
+    assert got["default", "generations"] == 1 and got["default", "level_4_generations"] == 1 and got[None, "writes"] == 9
+
+
+def test_many_deletes_of_one_series(spark, store, points):
+    """A hundred thousand of them: more than any row should be held against."""
+    store.add_sids([1, 2], 31)
+    n = 100_000
+    store.write(spark.range(n).selectExpr("1L sid", f"{DAY}L + id * 10 clock", "double(id) value", "id seq"))
+    store.write(points([(2, DAY, 1.0, 0, 1)]))
+    ranges = spark.range(n).selectExpr("1L sid", f"{DAY}L + id * 10 - 1 lo", f"{DAY}L + id * 10 + if(id % 1000 = 0, -1, 1) hi")
+    assert store.delete_ranges(ranges) == n
+    assert store.read([1]).count() == n // 1000 and values(store.read([2])) == [(2, DAY, 1.0, 0)]
+    store.compact(full=True)
+    assert store.read([1, 2]).count() == n // 1000 + 1 and store.tombstones().count() == 0
 
 
 def test_backup(store, points, tmp_path):

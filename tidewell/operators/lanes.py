@@ -71,6 +71,8 @@ def live(points: DataFrame, value: str = "value") -> DataFrame:
 CLAMPED = f"greatest({MIN_CLOCK}L, least({MAX_CLOCK}L, clock))"
 #: Slices of time (some five days) that rows are counted in before series are cut; a slice itself is cut only if it is too dense.
 SLICE_TICKS = 2**42
+#: Lanes up to which a plan is written into the expressions of a query; a longer one is broadcast as a table.
+WRITTEN_OUT = 100
 
 
 @dataclass(frozen=True)
@@ -150,9 +152,14 @@ class LanePlan:
         """Adds ``lane`` to rows with sid and clock."""
         out = df.withColumn("lane", F.lit(0).cast("long"))
         for i, level in enumerate(self.levels):
+            at = lambda lo, width, parts: f"least({parts} - 1, greatest(0L, ({CLAMPED} - {lo}) div {width}))"
+            if len(level) <= WRITTEN_OUT:
+                own = [f"when sid = {sid} and lane = {lane} {f'and {at(lo, width, parts)} > 0 ' if i else ''}then {lo} + {at(lo, width, parts)} * {width}" for sid, lane, lo, width, parts in level]
+                out = out.withColumn("lane", F.expr(f"cast(case {' '.join(own)} else lane end as bigint)"))
+                continue
             table = self.spark.createDataFrame(level, "sid bigint, lane bigint, _lo bigint, _width bigint, _lanes bigint")
-            at = f"least(_lanes - 1, greatest(0L, ({CLAMPED} - _lo) div _width))"
-            own = f"case when _lo is null then lane when {i} > 0 and {at} = 0 then lane else _lo + {at} * _width end"
+            there = at("_lo", "_width", "_lanes")
+            own = f"case when _lo is null then lane when {i} > 0 and {there} = 0 then lane else _lo + {there} * _width end"
             out = out.join(F.broadcast(table), ["sid", "lane"], "left").withColumn("lane", F.expr(own)).drop("_lo", "_width", "_lanes")
         return out
 
@@ -160,11 +167,16 @@ class LanePlan:
         """Repeats each row (keyed by sid) for every lane of its series."""
         if not self.heavy:
             return df.withColumn("lane", F.lit(0).cast("long"))
+        if sum(map(len, self.starts.values())) <= WRITTEN_OUT:
+            own = [f"when sid = {sid} then array({', '.join(f'{x}L' for x in starts)})" for sid, starts in self.starts.items()]
+            return df.withColumn("lane", F.explode(F.expr(f"case {' '.join(own)} else array(0L) end")))
         table = self.spark.createDataFrame(list(self.starts.items()), "sid bigint, _starts array<bigint>")
         joined = df.join(F.broadcast(table), "sid", "left")
         return joined.withColumn("lane", F.explode(F.coalesce("_starts", F.array(F.lit(0).cast("long"))))).drop("_starts")
 
     def only_heavy(self, df: DataFrame) -> DataFrame:
+        if len(self.heavy) <= WRITTEN_OUT:
+            return df.filter(F.col("sid").isin(self.heavy))
         return df.join(F.broadcast(self.spark.createDataFrame([(s,) for s in self.heavy], "sid bigint")), "sid", "left_semi")
 
     def heavy_sids(self) -> set[int]:

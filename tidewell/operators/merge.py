@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.clock import MAX_CLOCK, MIN_CLOCK
-from tidewell.operators import lanes
+from tidewell.operators import changefeed, lanes
 
 #: Sids of a list up to which it becomes a predicate that is pushed to the scan; a longer one becomes a semi join.
 PUSHED_SIDS = 1000
@@ -71,11 +71,10 @@ def read_range(points: DataFrame, sids: Iterable[int] | DataFrame, lo: int = MIN
 def apply_tombstones(points: DataFrame, tombs: DataFrame) -> DataFrame:
     """Points without those that a later tombstone (sid, min_clock, max_clock, seq) covers; null bounds are open.
 
-    For stores with few tombstones a series. Of change feeds with many, see changefeed.
+    Tombstones become keys that rows are joined with by equality, so neither a hot series nor one with many tombstones
+    is held against each of them. Points without sid, clock or seq are kept.
     """
-    p, t = points.alias("p"), tombs.select("sid", "min_clock", "max_clock", "seq").alias("t")
-    covers = F.expr("p.sid = t.sid and t.seq > p.seq and p.clock >= coalesce(t.min_clock, p.clock) and p.clock <= coalesce(t.max_clock, p.clock)")
-    return p.join(t, covers, "left_anti")
+    return changefeed.drop_deleted(points, tombs.select("sid", F.col("min_clock").alias("lo"), F.col("max_clock").alias("hi"), "seq"))
 
 
 def delete_range(points: DataFrame, sids: Iterable[int], lo: int = MIN_CLOCK, hi: int = MAX_CLOCK) -> DataFrame:

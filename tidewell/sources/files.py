@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
+from tidewell.operators import lanes
+
 
 @dataclass(frozen=True)
 class Entry:
@@ -66,13 +71,59 @@ class Files:
             stream.close()
 
     def write_text(self, path: str, text: str) -> None:
-        """Replaces a file as a whole: a reader sees the old text or the new."""
+        """Makes a new file, whole or not at all; an error if it is there already."""
         p, fs = self._at(path)
-        tmp, _ = self._at(path + ".tmp")
+        tmp, _ = self._at(f"{path}.{uuid.uuid4().hex}.tmp")
+        fs.mkdirs(p.getParent())
         stream = fs.create(tmp, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        if not fs.rename(tmp, p):
+        if fs.exists(p) or not fs.rename(tmp, p):
+            fs.delete(tmp, False)
             raise OSError(f"cannot write {path}")
+
+
+class Manifest:
+    """What a table consists of, as JSON in numbered versions: a reader sees one version whole, and a writer makes the
+    next one in one step. Two writers cannot make the same version."""
+
+    KEPT = 5
+
+    def __init__(self, files: Files, path: str):
+        self.files, self.path = files, f"{path}/_manifest"
+        self.version = 0
+
+    def _versions(self) -> list[int]:
+        return sorted(int(e.name[2:-5]) for e in self.files.entries(self.path) if e.name.startswith("v-") and e.name.endswith(".json"))
+
+    def _file(self, version: int) -> str:
+        return f"{self.path}/v-{version:012d}.json"
+
+    def read(self) -> dict | None:
+        """The latest version; None if there is none."""
+        versions = self._versions()
+        if not versions:
+            return None
+        self.version = versions[-1]
+        return json.loads(self.files.read_text(self._file(self.version)))
+
+    def write(self, content: dict) -> None:
+        """The next version after the one that was read or written last."""
+        self.files.write_text(self._file(self.version + 1), json.dumps(content))
+        self.version += 1
+        for old in self._versions()[: -self.KEPT]:
+            self.files.delete(self._file(old))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder of its own in the shared folder of the cluster, deleted at the end of the program."""
+    path = f"{lanes.shared_folder(spark)}/tidewell-{uuid.uuid4().hex}"
+
+    def clean() -> None:
+        try:
+            Files(spark).delete(path)
+        except Exception:  # the session has ended
+            pass
+
+    atexit.register(clean)
+    return path

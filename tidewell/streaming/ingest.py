@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewell.functions.clock import timestamp_of
 from tidewell.sources.store import Store
 
 
 def upsert_stream(points: DataFrame, store: Store, checkpoint: str, name: str = "ingest", db: str | None = None, now: int | None = None, available_now: bool = False) -> StreamingQuery:
-    """Writes each micro-batch to the store. A batch that was written before a restart is not written again."""
+    """Writes each micro-batch to the store. The number of the batch becomes visible in one step with its points, so a batch
+    that was written before a restart, or before a crash at any place, is not written again."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         if not store.epoch_done(name, epoch):
-            store.write(batch, db, now)
-            store.set_epoch(name, epoch)
+            store.write(batch, db, now, epoch=(name, epoch))
 
     out = points.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(write)
     return (out.trigger(availableNow=True) if available_now else out).start()
@@ -46,22 +42,10 @@ def distinct_changes(points: DataFrame, late: str) -> DataFrame:
 
 
 def current_values(points: DataFrame) -> DataFrame:
-    """(sid, clock, value, seq) of the newest reading of each series, whenever a batch has changed it; state per series."""
-
-    def latest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        before = best
-        for b in batches:
-            b = b.dropna(subset=["clock", "value", "seq"])
-            if len(b):
-                r = b.sort_values(["clock", "seq"]).iloc[-1]
-                new = (int(r.clock), int(r.seq), float(r.value))
-                best = new if best is None or new[:2] >= tuple(best[:2]) else best
-        if best is not None and best != before:
-            state.update(best)
-            yield pd.DataFrame({"sid": [key[0]], "clock": [best[0]], "value": [best[2]], "seq": [best[1]]})
-
-    return points.groupBy("sid").applyInPandasWithState(latest, "sid bigint, clock bigint, value double, seq bigint", "clock bigint, seq bigint, value double", "update", GroupStateTimeout.NoTimeout)
+    """(sid, clock, value, seq) of the newest reading of each series, whenever a batch has changed it (output mode update).
+    Rows without clock, value or seq are set aside; of one clock the highest seq counts. The state is one row a series."""
+    newest = F.max_by(F.struct("clock", "value", "seq"), F.struct("clock", "seq")).alias("newest")
+    return points.filter("clock is not null and value is not null and seq is not null").groupBy("sid").agg(newest).select("sid", "newest.clock", F.col("newest.value").cast("double").alias("value"), "newest.seq")
 
 
 class Progress(StreamingQueryListener):

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tests.conftest import rows
-from tidewell.llm import prose, reading
+from tidewell.llm import language, prose, reading
 
 EASY = ["I like the red cat.", "You can put it in the box.", "We got a new lamp.", "My dog is big.", "It will not start.", "She has a wet hat now."]
 HARD = [
@@ -95,3 +95,42 @@ def test_documents(spark, samples):
     assert reading.reading_grades(df, sample).count() == 14
     assert all(r.grade is None for r in reading.reading_grades(df, sample.limit(0)).collect())
     assert rows(reading.demanding(df.limit(0), sample)) == []
+
+
+def labelled(seed, n=40):
+    rng = np.random.default_rng(seed)
+    english = ["The pump is too loud and it will not start.", "I have a new filter, which works better than the old one.", "Please check the cable first."]
+    german = ["Ich habe die Pumpe gekauft und jetzt geht das Gehäuse nicht mehr.", "Man sollte zuerst das Netzteil prüfen.", "Warum ist der Filter so laut, obwohl er neu ist?"]
+    out = []
+    for i in range(2 * n):
+        pool, label = ((english, "en") if i % 2 else (german, "de"))
+        wrong = rng.random() < 0.2  # a fifth of the labels is wrong
+        out.append((" ".join(pool[j] for j in rng.integers(0, 3, 4)), {"en": "de", "de": "EN"}[label] if wrong else label))
+    return out
+
+
+def test_languages_are_learned_from_labels_of_which_some_are_wrong():
+    model = language.fit([*labelled(1), (None, "en"), ("x", None), ("Der", "und"), ("Une seule", "fr")])
+    assert model.names == ["de", "en"]
+    low = lambda t: [w.lower() for w in prose.WORD.findall(t)]
+    assert model.is_english(low("Each loud pump has a filter and a cable")) and not model.is_english(low("Das Gehäuse ist nicht neu, die Pumpe auch"))
+    assert language.fit(labelled(1)[:2]) is None and language.fit([]) is None and language.fit([(t, "de") for t, _ in labelled(1)]) is None
+
+
+def test_grades_by_learned_languages(spark, samples):
+    sample = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(samples)], "sample_id int, text string, grade int")
+    hard, german = text(HARD, 8, 99), "Ich habe die Pumpe gekauft und jetzt geht das Gehäuse nicht mehr. " * 9
+    docs = [(i, t, k, f"s{i % 2}") for i, (t, k) in enumerate(labelled(2))] + [(i, text(HARD, 6, i), "en", "s1") for i in range(500, 520)] + [(1000, german, "en", "s0"), (1001, hard, "de", "s0"), (1002, german + "\n\n" + hard * 3, None, None), (1003, None, None, "s1")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r for r in reading.reading_grades(df, sample, carry=("source",)).collect()}
+    assert len(got) == len(docs) and got[1000].grade is None and got[1001].grade > 3.5 and got[1002].grade > 3.5 and got[1003].grade is None and got[1002].source is None and got[1001].source == "s0"
+    assert sum(r.docs for r in reading.profile(df, sample).collect()) == sum(r.grade is not None for r in got.values())
+    by = reading.validation(df, sample).collect()
+    assert {r.folds for r in by} == {"by chance", "by source"} and sum(r.n_samples for r in by) == 2 * len(samples)
+
+
+def test_the_calibration_is_held_out_as_well(samples):
+    """On grades that mean nothing the held-out error is that of a guess, not that of a fit."""
+    rng = np.random.default_rng(5)
+    noise = reading.train([(t, int(g)) for (t, _), g in zip(samples, rng.integers(1, 6, len(samples)), strict=True)])
+    assert noise.held_out["mean_error"] > 0.9

@@ -14,15 +14,20 @@ TAGS = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 LINKS = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*\)|\[([^\[\]]*)\]\[[^\[\]]*\]")
 ADDRESS = re.compile(r"(?i)\b(?:https?|ftp)://\S+|\bwww\.\S+|[\w.+-]{1,64}@[\w-]{1,63}\.\w\S*")
 INLINE_CODE = re.compile(r"`[^`\n]*`")
-LOG = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d:\d\d)|\b(?:ERROR|WARN|INFO|DEBUG|TRACE)\b.*[:=]|^\s*(?:at\s+[\w.$]+\(|Traceback|File \")")
-CODE = re.compile(
-    r"[;{}]\s*$|^\s*[{}()\[\]]+\s*$|^\s*(?:def|class|import|from\s+\S+\s+import|return|public|private|static|void|var|let|const|function|#include|if\s*\(|for\s*\(|while\s*\(|else\b\s*[:{]|\}|@\w+|\$\s|>>>|//|/\*|#!)"
-    r"|^\s*(?:SELECT|FROM|WHERE|GROUP BY|ORDER BY|INSERT|UPDATE|DELETE|CREATE|JOIN|HAVING)\b|==|!=|&&|\|\||->|=>|\w\(\w*(?:,\s*\w+)*\)\s*[;:{]|^\s*[\w.\[\]]+\s*=\s*\S"
+LOG_START = re.compile(r"\s*(?:(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d:\d\d)|(?:at\s+[\w.$]+\(|Traceback|File \"))")
+LOG_LEVEL = re.compile(r"\b(?:ERROR|WARN|INFO|DEBUG|TRACE)\b.*[:=]")
+LEVELS = ("ERROR", "WARN", "INFO", "DEBUG", "TRACE")
+CODE_START = re.compile(
+    r"\s*(?:[{}()\[\]]+\s*$|(?:def|class|import|from\s+\S+\s+import|return|public|private|static|void|var|let|const|function|#include|if\s*\(|for\s*\(|while\s*\(|else\b\s*[:{]|\}|@\w+|\$\s|>>>|//|/\*|#!)"
+    r"|(?:SELECT|FROM|WHERE|GROUP BY|ORDER BY|INSERT|UPDATE|DELETE|CREATE|JOIN|HAVING)\b|[\w.\[\]]+\s*=\s*\S)"
 )
+CALL = re.compile(r"\w\(\w*(?:,\s*\w+)*\)\s*[;:{]")
+OPERATORS = ("==", "!=", "&&", "||", "->", "=>")
 SIGNS = re.compile(r"[{}\[\]<>|=;_\\^~*/]")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+(?=[A-ZÀ-ÞА-Я0-9\"'“‘(])")
-#: Frequent function words of English, and of other languages in Latin script without words they share with English.
+#: Chosen by hand, for tables without labels to learn languages from: frequent function words of English, and of other languages
+#: in Latin script without words they share with English.
 ENGLISH = frozenset(
     "the of and to a in is it that was for on are with as be this have from or had by not but what all were when we there can an your which their if will each about how up out them then she many some so these would other into has her him see than its who now my over did down only way could may been any new where most after before also through just because should such one you they i he at do no me our".split()
 )
@@ -39,7 +44,8 @@ FOREIGN = frozenset(
 #: A line without any of these is prose, unless it begins as code does.
 SIGNAL = re.compile(r"[;{}\[\]<>|=_\\^~*/()$@&:]|\d\d")
 CODE_STARTS = frozenset("def class import from return public private static void var let const function SELECT FROM WHERE GROUP ORDER INSERT UPDATE DELETE CREATE JOIN HAVING Traceback else".split())
-INVISIBLE = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad")) | dict.fromkeys(map(ord, "\u00a0\u2009\u202f"), " ")
+INVISIBLE = re.compile("[\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad]+")
+SPACES = re.compile("[\u00a0\u2009\u202f]")
 ITEM = re.compile(r"^(?:[-*+•]|\d+[.)]|#{1,6})\s+")
 
 
@@ -65,7 +71,7 @@ def plain_text(text: str) -> str:
     if "`" in t:
         t = INLINE_CODE.sub(" ", t)
     if not plain:
-        t = t.translate(INVISIBLE)
+        t = SPACES.sub(" ", INVISIBLE.sub("", t))
     out = []
     for line in t.split("\n"):
         s = line.strip()
@@ -75,7 +81,9 @@ def plain_text(text: str) -> str:
         if line.startswith(("    ", "\t", " \t")) or s.startswith((">", "|", "```", "~~~")) or s.endswith("|"):
             continue
         if SIGNAL.search(s) or s.split(None, 1)[0] in CODE_STARTS:
-            if LOG.search(line) or CODE.search(line):
+            if s[-1] in ";{}" or LOG_START.match(line) or CODE_START.match(line) or any(x in s for x in OPERATORS):
+                continue
+            if ("(" in s and CALL.search(line)) or (any(x in s for x in LEVELS) and LOG_LEVEL.search(line)):
                 continue
             letters = sum(map(str.isalpha, s))
             if letters < 0.5 * (len(s) - s.count(" ")) or len(SIGNS.findall(s)) > 0.08 * len(s):
@@ -88,39 +96,49 @@ def sentences(paragraph: str) -> list[str]:
     return [s for s in SENTENCE.split(" ".join(paragraph.split("\n"))) if s.strip()]
 
 
+PARAGRAPHS = re.compile(r"\n\s*\n")
+
+
+def paragraphs(text: str) -> list[list[tuple[str, list[str]]]]:
+    """The sentences of each paragraph of a text's prose with their words; those without words are left out."""
+    out = []
+    for paragraph in PARAGRAPHS.split(plain_text(text)):
+        split = [(s, ws) for s in sentences(paragraph) if (ws := WORD.findall(s))]
+        if split:
+            out.append(split)
+    return out
+
+
+def group(sizes: list[int], english: list[bool], least: int = WINDOW_WORDS) -> list[tuple[int, int]]:
+    """Cuts the sentences of a text, of which the words and the language are given, into windows [first, last).
+
+    A window takes whole sentences, at least ``least`` words of them, and does not cross from English to another
+    language; a sentence that is much longer stays whole. A short last window joins the one before it.
+    """
+    out: list[list[int]] = []
+    size = 0
+    for i, n in enumerate(sizes):
+        if not out or english[i] != english[out[-1][0]] or size >= least:
+            out.append([i, i])
+            size = 0
+        out[-1][1] = i + 1
+        size += n
+    if len(out) > 1 and size < least // 3 and english[out[-2][0]] == english[out[-1][0]]:
+        end = out.pop()[1]
+        out[-1][1] = end
+    return [(a, z) for a, z in out]
+
+
 def windows(text: str, least: int = WINDOW_WORDS) -> list[tuple[list[str], list[list[str]], bool]]:
     """(sentences, their words, English) of each window of at least ``least`` words of a text's prose.
 
-    A window takes whole sentences and does not cross from English to another language; a sentence that is much
-    longer stays whole. Paragraphs are judged by the function words in them; a paragraph without any is taken
+    Without a learned model paragraphs are judged by the function words in them; a paragraph without any is taken
     for English if it is in Latin script with few accents.
     """
-    out: list[tuple[list[str], list[list[str]], bool]] = []
-    held: tuple[list[str], list[list[str]], bool] | None = None
-    size = 0
-    for paragraph in re.split(r"\n\s*\n", plain_text(text)):
-        split = sentences(paragraph)
-        words = [WORD.findall(s) for s in split]
-        low = [w.lower().replace("’", "'") for ws in words for w in ws]
-        if not low:
-            continue
-        english = is_english(low)
-        for s, ws in zip(split, words, strict=True):
-            if not ws:
-                continue
-            if held is None or held[2] != english or size >= least:
-                held = ([], [], english)
-                out.append(held)
-                size = 0
-            held[0].append(s)
-            held[1].append(ws)
-            size += len(ws)
-    # a short last window joins the one before it
-    if len(out) > 1 and sum(map(len, out[-1][1])) < least // 3 and out[-2][2] == out[-1][2]:
-        tail = out.pop()
-        out[-1][0].extend(tail[0])
-        out[-1][1].extend(tail[1])
-    return out
+    split = paragraphs(text)
+    english = [e for p in split for e in [is_english([w.lower().replace("’", "'") for _, ws in p for w in ws])] * len(p)]
+    flat = [x for p in split for x in p]
+    return [([s for s, _ in flat[a:z]], [ws for _, ws in flat[a:z]], english[a]) for a, z in group([len(ws) for _, ws in flat], english, least)]
 
 
 def is_english(low: list[str]) -> bool:

@@ -34,6 +34,10 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.profile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_samples"))
 
 
+def p9_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.validation(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_samples"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p4_found": p4_found,
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_containers": p8_containers,
     "p9_found": p9_found,
     "p9_profile": p9_profile,
+    "p9_validation": p9_validation,
 }
 
 SQL: dict[str, str] = {

@@ -1,3 +1,4 @@
+import time
 from itertools import product
 
 import numpy as np
@@ -81,3 +82,20 @@ def test_documents(spark):
     got = packing.pack_documents(docs, sizes).collect()
     assert {(r.pack_id, r.doc_id) for r in got} == {(p, d) for p in (1, 2) for d in (1, 2, 3, 4)}
     assert packing.pack_documents(docs, sizes.limit(0)).collect() == []
+
+
+def test_plan_of_a_long_capacity_is_tight_and_quick():
+    rng = np.random.default_rng(1)
+    capacity = 131_072
+    left = np.bincount(np.minimum(rng.lognormal(8, 1.5, 200_000).astype(int) + 1, capacity), minlength=capacity + 1)
+    began = time.time()
+    found = packing.plan(capacity, left)
+    assert time.time() - began < 60
+    assert sum(n for n, _ in found) <= -(-int((left * np.arange(capacity + 1)).sum()) // capacity) + 1
+
+
+def test_checks_of_a_packing(spark):
+    docs = spark.createDataFrame([(1, "Hello world " * 30), (1, "Hello world " * 30), (2, None), (4, "one two three"), (5, "a b c d " * 200)], "doc_id bigint, text string")
+    sizes = spark.createDataFrame([(1, 16, "byte_bpe_50k"), (2, 64, "byte_bpe_50k")], "pack_id int, capacity_tokens int, tokenizer string")
+    got = packing.packing_check(docs, sizes).collect()
+    assert sorted((r.pack_id, r.documents, r.rows_of_documents, r.overfull, r.broken, r.tight) for r in got) == [(1, 4, 5, 0, 0, True), (2, 4, 5, 0, 0, True)]

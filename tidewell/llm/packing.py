@@ -10,13 +10,12 @@ items of their size.
 
 from __future__ import annotations
 
-import os
-import tempfile
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import bpe
@@ -24,11 +23,13 @@ from tidewell.operators import lanes
 
 #: Rows of one size that one task ranks; the items of a size with more are spread over several.
 RANKED_ROWS = 200_000
+#: Largest sizes that are tried as the first of three.
+TRIED = 32
 #: Most rows of the table of capacities, which is held on the driver.
 MOST_CAPACITIES = 1000
 
 
-def fill(room: int, left: np.ndarray, sizes: list[int]) -> dict[int, int]:
+def fill(room: int, left: np.ndarray, sizes: Iterable[int]) -> dict[int, int]:
     """The multiset of the sizes (descending), each at most left[size] times, with the largest sum up to room."""
     mask = (1 << (room + 1)) - 1
     full = 1 << room
@@ -56,32 +57,92 @@ def fill(room: int, left: np.ndarray, sizes: list[int]) -> dict[int, int]:
     return out
 
 
+def bits(there: np.ndarray) -> int:
+    """A bitset with bit i for each i of which there[i] holds."""
+    return int.from_bytes(np.packbits(there, bitorder="little").tobytes(), "little")
+
+
+class Left:
+    """The items that are left: how many of each size, and which sizes, as a bitset in both directions."""
+
+    def __init__(self, capacity: int, left: np.ndarray):
+        self.capacity, self.left = capacity, left.copy()
+        self.left[0] = 0
+        self.have, self.back = bits(self.left > 0), bits(self.left[::-1] > 0)
+
+    def add(self, size: int, n: int) -> None:
+        had = self.left[size] > 0
+        self.left[size] += n
+        if had != (self.left[size] > 0):
+            self.have ^= 1 << size
+            self.back ^= 1 << (self.capacity - size)
+
+    def sizes(self, room: int) -> Iterator[int]:
+        """The sizes up to room, the largest first."""
+        rest = self.have & ((1 << (room + 1)) - 1)
+        while (s := rest.bit_length() - 1) > 0:
+            yield s
+            rest ^= 1 << s
+
+    def exact(self, room: int, most: int = 3) -> list[int] | None:
+        """Up to ``most`` sizes that fill room exactly, larger ones first, if the bitsets show some."""
+        if room == 0:
+            return []
+        if self.have >> room & 1:
+            return [room]
+        if most >= 2:
+            two = self.have & (self.back >> (self.capacity - room))  # sizes s for which there is room - s
+            s = two.bit_length() - 1
+            if s > 0 and (2 * s != room or self.left[s] > 1):
+                return [s, room - s]
+        if most >= 3:
+            rest = self.have & ((1 << room) - 1)
+            for _ in range(TRIED):
+                s = rest.bit_length() - 1
+                if s <= 0:
+                    break
+                rest ^= 1 << s
+                self.add(s, -1)
+                more = self.exact(room - s, 2)
+                self.add(s, 1)
+                if more is not None:
+                    return [s, *more]
+        return None
+
+
 def plan(capacity: int, left: np.ndarray) -> list[tuple[int, dict[int, int]]]:
-    """Fillings as (number of containers, {size: items in each}), from the number of items of each size 1..capacity."""
-    left = left.copy()
-    sizes = [int(s) for s in np.flatnonzero(left)[::-1] if s > 0]
+    """Fillings as (number of containers, {size: items in each}), from the number of items of each size 1..capacity.
+
+    While more than two of the largest size that is left would fit, it is set. The window that then remains is filled by
+    up to three sizes whose sum is exact, each looked up with a few operations on bitsets; where there are none, by the
+    programme over all sizes that are left.
+    """
+    items = Left(capacity, left)
     out = []
-    while sizes:
-        largest = sizes[0]
-        left[largest] -= 1
-        filling = fill(capacity - largest, left, sizes)
-        left[largest] += 1
-        filling[largest] = filling.get(largest, 0) + 1
-        times = min(int(left[s]) // m for s, m in filling.items())
+    while items.have:
+        filling: dict[int, int] = {}
+        room = capacity
+
+        def take(s: int, n: int) -> None:
+            items.add(s, -n)
+            filling[s] = filling.get(s, 0) + n
+
+        while (top := (items.have & ((1 << (room + 1)) - 1)).bit_length() - 1) > 0 and (not filling or room > 2 * top):
+            n = 1 if not filling else min(int(items.left[top]), room // top - 1)
+            take(top, n)
+            room -= n * top
+        found = items.exact(room)
+        for s, n in (fill(room, items.left, items.sizes(room)) if found is None else Counter(found)).items():
+            take(s, n)
+        for s, n in filling.items():
+            items.add(s, n)
+        times = min(int(items.left[s]) // m for s, m in filling.items())
         for s, m in filling.items():
-            left[s] -= m * times
+            items.add(s, -m * times)
         out.append((times, filling))
-        sizes = [s for s in sizes if left[s]]
     return out
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder the cluster names in spark.checkpoint.dir; a folder of its own only where none is named."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidewell-checkpoints"))
-
-
 def pack(sizes: DataFrame, capacities: list[tuple[int, int]], ranked_rows: int = RANKED_ROWS) -> DataFrame:
     """Assigns items to containers: (pack_id, container_id, doc_id, piece_no, n_tokens).
 
@@ -176,10 +237,27 @@ def pack_documents(documents: DataFrame, pack_sizes: DataFrame, folder: str = bp
     rows = pack_sizes.filter("capacity_tokens > 0 and tokenizer is not null and pack_id is not null").limit(MOST_CAPACITIES + 1).collect()
     if len(rows) > MOST_CAPACITIES:
         raise ValueError(f"more than {MOST_CAPACITIES} capacities")
-    checkpoint_dir(spark)
+    lanes.checkpoint_dir(spark)
     out = None
     for tokenizer in sorted({r.tokenizer for r in rows}):
         sizes = bpe.token_counts(documents, tokenizer, folder).checkpoint()
         packed = pack(sizes, [(r.pack_id, r.capacity_tokens) for r in rows if r.tokenizer == tokenizer])
         out = packed if out is None else out.unionByName(packed)
     return out if out is not None else spark.createDataFrame([], "pack_id int, container_id bigint, doc_id bigint, piece_no bigint, n_tokens bigint")
+
+
+def packing_check(documents: DataFrame, pack_sizes: DataFrame, folder: str = bpe.TOKENIZERS) -> DataFrame:
+    """(pack_id, documents, rows_of_documents, overfull, broken, tight) of pack_documents: the documents that are packed, the
+    first pieces; containers that hold more than their capacity; documents within the capacity that are cut, or longer
+    ones not cut into full pieces and a rest; whether the containers are at most 1 % and one more than the tokens need."""
+    placed = pack_documents(documents, pack_sizes, folder).join(F.broadcast(pack_sizes.select("pack_id", F.col("capacity_tokens").alias("capacity"))), "pack_id")  # at most MOST_CAPACITIES rows
+    loads = placed.groupBy("pack_id", "capacity", "container_id").agg(F.sum("n_tokens").alias("load"))
+    loads = loads.groupBy("pack_id").agg(F.count(F.when(F.col("load") > F.col("capacity"), 1)).alias("overfull"), F.count(F.lit(1)).alias("containers"), F.sum("load").alias("tokens"), F.max("capacity").alias("capacity"))
+    by_doc = placed.groupBy("pack_id", "capacity", "doc_id").agg(
+        F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"), F.count(F.when(F.col("piece_no") == 0, 1)).alias("heads"), F.count(F.when(F.col("n_tokens") == F.col("capacity"), 1)).alias("full")
+    )
+    # of a doc_id that occurs several times each has its own pieces
+    wrong = (F.col("pieces") < F.greatest(F.col("heads"), F.ceil(F.col("n") / F.col("capacity")))) | (F.col("pieces") - F.col("full") > F.col("heads"))
+    by_doc = by_doc.groupBy("pack_id").agg(F.count(F.lit(1)).alias("documents"), F.sum("heads").alias("rows_of_documents"), F.count(F.when(wrong, 1)).alias("broken"))
+    tight = F.col("containers") <= F.ceil(F.col("tokens") / F.col("capacity")) * 1.01 + 1
+    return by_doc.join(loads, "pack_id").select("pack_id", "documents", "rows_of_documents", "overfull", "broken", tight.alias("tight"))

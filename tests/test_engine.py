@@ -230,3 +230,28 @@ def test_positions_and_predecessors_of_split_series(spark, points, target, monke
     want = [(1, a, max((c for c in clocks if c <= a), default=None)) for a in sorted(set(ask))] + [(3, 1, None)]
     assert rows(merge.predecessors(p, asked, target), "sid", "clock", "point_clock") == want
     assert rows(merge.sorted_series(p), "sid", "clock") == [r[:2] for r in got]
+
+
+def test_lists_by_position(spark, points):
+    p = points([(1, c, float(c), 0, c) for c in (5, 7, 9, 11)] + [(2, 5, 1.0, 0, 1)])
+    assert rows(merge.remove_positions(p, 1, 2), "sid", "clock") == [(1, 5), (1, 11), (2, 5)]
+    assert rows(merge.remove_positions(p, 0), "sid", "clock") == [(1, 7), (1, 9), (1, 11)]
+    asked = spark.createDataFrame([(1, 9), (1, 9), (1, 10), (3, 5)], "sid bigint, clock bigint")
+    assert rows(merge.positions_of(p, asked)) == [(1, 9, 2), (1, 10, -1), (3, 5, -1)]
+    assert rows(merge.contains_points(p, asked)) == [(1, 9, True), (1, 10, False), (3, 5, False)]
+    assert rows(merge.remove_positions(p.limit(0), 0)) == [] and rows(merge.contains_points(p, asked.limit(0))) == []
+
+
+def test_may_contain_tells_by_the_last_block(spark):
+    blocks = spark.createDataFrame([(1, 0, 10), (1, 10, 20), (1, 40, 50), (2, 0, 5)], "sid bigint, min_clock bigint, max_clock bigint")
+    asked = spark.createDataFrame([(1, 0), (1, 10), (1, 20), (1, 21), (1, 45), (1, 51), (2, 6), (3, 1), (1, 45)], "sid bigint, clock bigint")
+    assert rows(measures.may_contain(blocks, asked)) == [(1, 0), (1, 10), (1, 20), (1, 45), (1, 45)]
+    tombs = spark.createDataFrame([(1, 40, None), (2, 0, 9), (1, 0, 0)], "sid bigint, min_clock bigint, max_clock bigint")
+    assert rows(measures.may_contain(blocks, asked, tombs)) == [(1, 10), (1, 20)]
+
+
+def test_tombstones_keep_rows_without_keys(points):
+    p = points([(1, 5, 1.0, 0, 1), (None, 5, 1.0, 0, 1), (1, None, 1.0, 0, 1), (1, 5, 2.0, 0, None), (1, 5, 1.0, 0, 1)]).selectExpr("*", "'x' row", "2 bucket", "3 lo")
+    t = points([(1, 5, 1.0, 0, 9)]).selectExpr("sid", "clock min_clock", "clock max_clock", "seq")
+    assert len(rows(merge.apply_tombstones(p, t), "sid", "clock", "seq")) == 3
+    assert merge.apply_tombstones(p, t.limit(0)).count() == 5 and merge.apply_tombstones(p, t).columns == p.columns

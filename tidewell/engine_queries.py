@@ -6,8 +6,6 @@ Points come from points_double, points_bool and, mapped to points, from events,
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +16,10 @@ from tidewell.functions.clock import MAX_CLOCK, MIN_CLOCK, RETENTION_DAYS, clock
 from tidewell.operators import blocks, changefeed, lanes, measures, merge, model, rolling, schemes, shards
 from tidewell.plans import compaction
 from tidewell.queries import CURRENT, table
+from tidewell.sources import simulate
+from tidewell.sources.changelog import ChangeLog
+from tidewell.sources.files import scratch
+from tidewell.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -560,14 +562,7 @@ def _(s, d):
 
 
 # ---- the store, and streams ---------------------------------------------------------------------------------------
-def scratch(s: SparkSession) -> str:
-    """A folder of its own in the shared folder of the cluster; machine-local only where the session names none."""
-    return os.path.join(s.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir(), f"tidewell-{uuid.uuid4().hex}")
-
-
 def filled_store(s: SparkSession, d: str):
-    from tidewell.sources.store import Store
-
     store = Store(s, scratch(s)).open()
     store.add_sids(registry(s, d).filter("dtype = 0"), 31)
     return store
@@ -591,3 +586,224 @@ def _(s, d):
     stream = source.parquet(path) if os.path.isdir(path) else source.option("pathGlobFilter", "points_double.parquet").parquet(d)
     ingest.upsert_stream(stream, store, f"{store.path}/checkpoint", available_now=True).awaitTermination()
     return store.read(registry(s, d).filter("dtype = 0")).select("sid", "clock", F.col("v_double").alias("value"), "quality")
+
+
+# ---- the store: deletes, databases, snapshots, maintenance -----------------------------------------------------------
+STORED = f"""select sid, clock, value, coalesce(quality, 0) quality, seq from ({CURRENT}) where sid in (select sid from series_registry where dtype = 0)"""
+#: Every third sid loses the clocks of ten days; of these the readings with an even seq are written again.
+GONE_LO, GONE_HI = NOW - 30 * 864_000_000_000, NOW - 20 * 864_000_000_000
+STORE_SID = "sid in (select sid from series_registry where dtype = 0)"
+
+
+@query("store_delete", f"""with w as (select sid, clock, value, coalesce(quality, 0) quality, seq from points_double where value is not null and not isnan(value) and clock is not null and {STORE_SID}),
+gone as (select * from w where not (sid % 3 = 0 and clock between {GONE_LO} and {GONE_HI})), again as (select * from w where sid % 3 = 0 and clock between {GONE_LO} and {GONE_HI} and seq % 2 = 0)
+select sid, clock, value, quality from (select * from gone union all select * from again) qualify row_number() over (partition by sid, clock order by seq desc) = 1""")
+def _(s, d):
+    store, x = filled_store(s, d), points(s, d)
+    store.write(x)
+    store.delete_range(registry(s, d).filter("sid % 3 = 0"), GONE_LO, GONE_HI)
+    store.write(x.filter(f"sid % 3 = 0 and clock between {GONE_LO} and {GONE_HI} and seq % 2 = 0"))
+    store.compact()
+    return store.read(registry(s, d).filter("dtype = 0")).select("sid", "clock", F.col("v_double").alias("value"), "quality")
+
+
+@query("store_delete_ranges", f"""with t as (select sid, min_clock lo, max_clock hi from wal_entries where lower(trim(kind, ' ' || chr(9) || chr(10) || chr(13))) = 'delete_range' and sid is not null)
+select sid, clock, value from ({STORED}) p where not exists (select 1 from t where t.sid = p.sid and (lo is null or clock >= lo) and (hi is null or clock <= hi))""")
+def _(s, d):
+    store = filled_store(s, d)
+    store.write(points(s, d))
+    ranges = table(s, d, "wal_entries").filter(F.lower(F.expr(r"trim(both ' \t\r\n' from kind)")) == "delete_range")
+    store.delete_ranges(ranges.select("sid", F.col("min_clock").alias("lo"), F.col("max_clock").alias("hi")))
+    return store.read(registry(s, d).filter("dtype = 0")).select("sid", "clock", F.col("v_double").alias("value"))
+
+
+@query("store_databases", """with w as (select sid, clock from points_double where value is not null and not isnan(value) and clock is not null group by all),
+n as (select db_name, count(*) n_points from w join (select distinct db_name, sid from series_registry where dtype = 0 and db_name is not null and sid is not null) using (sid) group by 1)
+select db_name || '-renamed' as database, n_points from n union all select 'default', 0""")
+def _(s, d):
+    """A database for each name of the registry, all written at once; one that was deleted holds nothing."""
+    store, reg = Store(s, scratch(s)).open(), registry(s, d).filter("dtype = 0 and db_name is not null")
+    names = sorted(r.db_name for r in reg.select("db_name").distinct().collect())
+    for name in names:
+        store.create_database(name)
+        store.add_sids(reg.filter(F.col("db_name") == name), 31, name)
+    store.write(points(s, d))
+    for name in names:
+        store.rename_database(name, f"{name}-renamed")
+    store.create_database("gone")
+    store.delete_database("gone")
+    counts = [store.read(reg, db=name).agg(F.lit(name).alias("database"), F.count(F.lit(1)).alias("n_points")) for name in store.databases()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@query("store_backup", f"select sid, clock, value from ({STORED})")
+def _(s, d):
+    store = filled_store(s, d)
+    store.write(points(s, d))
+    store.backup(f"{store.path}-backup")
+    store.restore(f"{store.path}-backup", "copy")
+    return store.read(registry(s, d).filter("dtype = 0"), db="copy").select("sid", "clock", F.col("v_double").alias("value"))
+
+
+@query("store_snapshot", f"""select sid, clock, value from (
+  select * from points_double where value is not null and not isnan(value) and clock is not null and {STORE_SID} and seq % 2 = 1) qualify row_number() over (partition by sid, clock order by seq desc) = 1""")
+def _(s, d):
+    """What was written before the snapshot, not what came after it, also once that is merged."""
+    store, x = filled_store(s, d), points(s, d)
+    store.write(x.filter("seq % 2 = 1"))
+    held = store.snapshot()
+    store.write(x.filter("seq % 2 = 0"))
+    store.clear_snapshot(True)
+    return held.select("sid", "clock", F.col("v_double").alias("value"))
+
+
+@query("store_flush", f"""select sid, clock, value, coalesce(quality, 0) quality from points_double where value is not null and not isnan(value) and clock is not null and {STORE_SID}
+qualify row_number() over (partition by sid, clock order by seq % 3 desc, seq desc) = 1""")
+def _(s, d):
+    """Three writes in an order of their own, each merged with what is there; of equal (sid, clock) the last write wins."""
+    store, x = filled_store(s, d), points(s, d)
+    for part in range(3):
+        store.write(x.filter(f"pmod(seq, 3) = {part}"))
+        store.flush()
+    return store.read(registry(s, d).filter("dtype = 0")).select("sid", "clock", F.col("v_double").alias("value"), "quality")
+
+
+STORE_SHARDS = f"select count(distinct clock // 864000000000) from points_double where value is not null and not isnan(value) and clock is not null and {STORE_SID}"
+STORE_WRITTEN = f"select count(*) from points_double where value is not null and not isnan(value) and clock is not null and {STORE_SID}"
+
+
+@query("store_maintenance", f"""select * from (values ('idle before', 0::bigint), ('merged', 1::bigint), ('idle after', 1::bigint), ('bytes', 1::bigint), ('modified', 1::bigint)) t(item, value)
+union all select 'shards', ({STORE_SHARDS}) union all select 'generations before', 9 * ({STORE_SHARDS}) union all select 'generations after', ({STORE_SHARDS})""")
+def _(s, d):
+    """Nine writes to every shard, merged by the planner: eight generations of a level, then all of a cold shard."""
+    store, x = filled_store(s, d), points(s, d)
+    for _ in range(9):
+        store.write(x)
+    n = len(store.shards())
+    out = [("shards", n), ("idle before", int(store.is_idle())), ("generations before", store.generation_table().count())]
+    out.append(("merged", int(store.maintain(NOW, NOW) == n)))
+    store.maintain(NOW + 2 * compaction.COLD_TICKS, NOW)
+    out += [("idle after", int(store.is_idle())), ("generations after", store.generation_table().count()), ("bytes", int(store.disk_size() == sum(e[3] for e in store.file_table()) + sum(e.n_bytes for e in store.files.walk(f"{store.path}/registry/commit={store.meta['databases']['default']['registry']}"))))]
+    return s.createDataFrame([*out, ("modified", int(store.last_modified() > 0))], "item string, value bigint")
+
+
+@query("store_counters", f"""select 'store' as module, 'writes' as counter, 2::bigint as value union all select 'store', 'points_accepted', 2 * ({STORE_WRITTEN}) union all select 'store', 'deletes', 1
+union all select 'store', 'reads', 1 union all select 'shard', 'shards', ({STORE_SHARDS}) union all select 'engine', 'generations', 2 * ({STORE_SHARDS}) union all select 'cache', 'unmerged_generations', 2 * ({STORE_SHARDS})
+union all select 'log', 'deletes', 1 union all select 'engine', 'level_1_generations', 2 * ({STORE_SHARDS}) union all select 'shard', 'retention_periods', 1""")
+def _(s, d):
+    store, x = filled_store(s, d), points(s, d)
+    store.write(x)
+    store.write(x)
+    store.delete_range(registry(s, d), GONE_LO, GONE_HI)
+    store.read([17])
+    shown = F.col("counter").isin("writes", "points_accepted", "deletes", "reads", "shards", "generations", "unmerged_generations", "level_1_generations", "retention_periods")
+    return store.statistics().filter(shown).select("module", "counter", "value")
+
+
+@query("store_expire", f"select sid, clock, value from ({STORED}) where not {NOW} > clock - clock % 864000000000 + 32 * 864000000000")
+def _(s, d):
+    store = filled_store(s, d)
+    store.write(points(s, d))
+    store.expire(NOW)
+    return store.read(registry(s, d).filter("dtype = 0")).select("sid", "clock", F.col("v_double").alias("value"))
+
+
+# ---- the change log ----------------------------------------------------------------------------------------------------
+def filled_log(s: SparkSession, d: str) -> ChangeLog:
+    log, feed = ChangeLog(s, scratch(s)), table(s, d, "wal_entries")
+    for part in (1, 2, 0):
+        log.append(feed.filter(f"pmod(seq, 3) = {part}"))
+    return log
+
+
+@query("log_replay", SQL["replayed_table"])
+def _(s, d):
+    return filled_log(s, d).replay()
+
+
+@query("log_entries", "select seq, coalesce(kind, '') kind, coalesce(sid, -1) sid, coalesce(clock, -1) clock, coalesce(min_clock, -1) min_clock, coalesce(max_clock, -1) max_clock from wal_entries where seq is not null")
+def _(s, d):
+    return filled_log(s, d).read().select("seq", F.coalesce("kind", F.lit("")).alias("kind"), *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("sid", "clock", "min_clock", "max_clock")])
+
+
+@query("log_segments", "select ((seq % 3) + 2) % 3 + 1 as segment, count(*) as n from wal_entries where seq is not null and seq % 3 <> 0 group by 1")
+def _(s, d):
+    """Entries by segment; the last segment is removed."""
+    log = filled_log(s, d)
+    log.remove(log.segments()[2:])
+    return log.read().groupBy(F.expr("int(regexp_extract(input_file_name(), 'segment-([0-9]+)', 1))").alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("log_deletes", f"select sid, clock, value from ({EVENTS}) where sid not in {SIDS[:4]} and not (sid in {SIDS[4:]} and clock >= {LO}) qualify row_number() over (partition by sid, clock order by seq desc) = 1")
+def _(s, d):
+    log = ChangeLog(s, scratch(s))
+    log.write(events(s, d))
+    log.delete(list(SIDS[:4]), 10**15)
+    log.delete_range(list(SIDS[4:]), LO, None, 10**15 + 1)
+    return log.replay().select("sid", "clock", "value")
+
+
+# ---- orders and lists --------------------------------------------------------------------------------------------------
+@query("sorted_points", f"select sid, clock, seq, true as in_order from ({EVENTS})")
+def _(s, d):
+    """Whether each point follows the one before it in its partition, and partitions follow each other."""
+    from pyspark.sql import Window
+
+    x = merge.sorted_series(events(s, d)).withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()})
+    inside = Window.partitionBy("part").orderBy("row")
+    x = x.withColumn("before", F.lag(F.struct("sid", "clock")).over(inside))
+    ends = x.groupBy("part").agg(F.min(F.struct("sid", "clock")).alias("lo"), F.max(F.struct("sid", "clock")).alias("hi"))
+    crossed = ends.alias("a").join(ends.alias("b"), F.expr("b.part = a.part + 1 and b.lo < a.hi"), "left_semi").select(F.col("a.part").alias("part"), F.lit(True).alias("crossed"))  # a row for each partition
+    ok = (F.col("before").isNull() | (F.col("before") <= F.struct("sid", "clock"))) & F.col("crossed").isNull()
+    return x.join(crossed, "part", "left").select("sid", "clock", "seq", ok.alias("in_order"))
+
+
+@query("sorted_files", "select file, row_number() over (order by min_clock, max_clock, file) as place from (select l_returnflag || l_linestatus || l_linenumber::varchar as file, min(l_shipdate) min_clock, max(l_shipdate) max_clock from lineitem group by 1)")
+def _(s, d):
+    x = table(s, d, "lineitem").select(F.col("l_suppkey").alias("sid"), clock_of("l_shipdate").alias("clock"), F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("file"))
+    return shards.in_time_order(measures.file_stats(x, "file"), "file").select("file", "place")
+
+
+@query("remove_positions", f"select sid, clock, seq from (select *, row_number() over (partition by sid order by clock, seq) - 1 as nth from ({EVENTS})) where nth not between 3 and 7")
+def _(s, d):
+    return merge.remove_positions(events(s, d), 3, 5).select("sid", "clock", "seq")
+
+
+LIST_ASKED = f"(select distinct sid, clock + (seq % 2) as clock from ({EVENTS}) where seq % 5 = 0)"
+
+
+def list_asked(s: SparkSession, d: str) -> DataFrame:
+    return events(s, d).filter("seq % 5 = 0").select("sid", F.expr("clock + seq % 2").alias("clock"))
+
+
+@query("positions_of", f"select a.sid, a.clock, coalesce(p.nth, -1) as at from {LIST_ASKED} a left join (select sid, clock, min(nth) nth from (select sid, clock, row_number() over (partition by sid order by clock) - 1 as nth from ({EVENTS})) group by 1, 2) p on a.sid = p.sid and a.clock = p.clock")
+def _(s, d):
+    return merge.positions_of(events(s, d), list_asked(s, d))
+
+
+@query("contains_points", f"select a.sid, a.clock, exists (select 1 from ({EVENTS}) p where p.sid = a.sid and p.clock = a.clock) as found from {LIST_ASKED} a")
+def _(s, d):
+    return merge.contains_points(events(s, d), list_asked(s, d))
+
+
+@query("simulated_points", "select i % 5000 + 1 as sid, 637021734000000000 + (i // 5000) * 10000000 as clock, 0 as quality, i // 5000 as seq, true as in_range from range(20000) t(i)")
+def _(s, d):
+    x = simulate.simulate(s, "double", 5000, 4)
+    return x.select("sid", "clock", "quality", "seq", F.expr("value >= 0 and value < 1").alias("in_range"))
+
+
+@query("stored_stats", "select min(clock) min_clock, max(clock) max_clock, min(sid) min_sid, max(sid) max_sid, count(*) n_points, true as has_bytes from points_double")
+def _(s, d):
+    """stored_file_stats of all files together."""
+    x = measures.stored_file_stats(points(s, d))
+    return x.agg(F.min("min_clock").alias("min_clock"), F.max("max_clock").alias("max_clock"), F.min("min_sid").alias("min_sid"), F.max("max_sid").alias("max_sid"), F.sum("n_points").alias("n_points"), (F.min("n_bytes") > 0).alias("has_bytes"))
+
+
+@query("checksum_of_codes", """with t as (select list(c order by i) crc_of from (select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) c from range(256) r(i))),
+b as (select distinct tags, list_transform(range(octet_length(encode(tags))), lambda i: ('0x' || substr(hex(encode(tags)), (2 * i + 1)::bigint, 2))::bigint) bytes from documents where tags is not null)
+select tags, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda a, x: xor(a >> 8, crc_of[(xor(a, x) & 255) + 1])), 4294967295::bigint) crc from b, t""")
+def _(s, d):
+    return table(s, d, "documents").select("tags").filter("tags is not null").distinct().withColumn("crc", codes.checksum(F.col("tags")))

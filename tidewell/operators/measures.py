@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.clock import MAX_CLOCK, MIN_CLOCK, TICKS_PER_SECOND
-from tidewell.operators import lanes, model
+from tidewell.operators import changefeed, lanes, merge, model
 
 POINTS_PER_BLOCK = 1000
 
@@ -34,12 +34,16 @@ def block_index(points: DataFrame, block: int = POINTS_PER_BLOCK) -> DataFrame:
 
 
 def may_contain(blocks: DataFrame, asked: DataFrame, tombs: DataFrame | None = None) -> DataFrame:
-    """Of asked (sid, clock) those that lie within a block of their series and under no tombstone."""
-    b = blocks.select("sid", "min_clock", "max_clock").alias("b")
-    found = asked.alias("a").join(b, F.expr("a.sid = b.sid and a.clock between b.min_clock and b.max_clock"), "left_semi")
+    """Of asked (sid, clock) those that lie within a block of their series and under no tombstone.
+
+    The blocks of a series do not overlap but in their ends, so the last one that begins at or before a clock tells. It is
+    found in one sorted pass, in which long series are cut; tombstones are applied as keys.
+    """
+    begins = blocks.select("sid", F.col("min_clock").alias("clock"), "max_clock").groupBy("sid", "clock").agg(F.max("max_clock").alias("value"))
+    found = merge.predecessors(begins, asked.select("sid", "clock")).filter(F.col("value") >= F.col("clock")).select("sid", "clock")
     if tombs is not None:
-        t = tombs.alias("t")
-        found = found.alias("a").join(t, F.expr("a.sid = t.sid and a.clock between coalesce(t.min_clock, a.clock) and coalesce(t.max_clock, a.clock)"), "left_anti")
+        deletes = tombs.select("sid", F.col("min_clock").alias("lo"), F.col("max_clock").alias("hi"), F.lit(1).cast("long").alias("seq"))
+        found = changefeed.drop_deleted(found.withColumn("seq", F.lit(0).cast("long")), deletes).select("sid", "clock")
     return found
 
 

@@ -87,6 +87,23 @@ def position_slice(points: DataFrame, start: int, count: int) -> DataFrame:
     return lanes.with_position(points, name="_at").filter(F.col("_at").between(start, start + count - 1)).drop("_at")
 
 
+def remove_positions(points: DataFrame, start: int, count: int = 1) -> DataFrame:
+    """Each series without the points at the places start to start + count - 1 (from 0), in clock order."""
+    return lanes.with_position(points, name="_at").filter(~F.col("_at").between(start, start + count - 1)).drop("_at")
+
+
+def positions_of(points: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each distinct asked (sid, clock) the place of the first point there in its series, -1 if there is none."""
+    placed = lanes.with_position(points.select("sid", "clock"), name="_at").groupBy("sid", "clock").agg(F.min("_at").alias("at"))
+    return asked.select("sid", "clock").distinct().join(placed, ["sid", "clock"], "left").select("sid", "clock", F.coalesce("at", F.lit(-1)).cast("long").alias("at"))
+
+
+def contains_points(points: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each distinct asked (sid, clock) whether there is a point."""
+    there = points.select("sid", "clock").distinct().withColumn("found", F.lit(True))
+    return asked.select("sid", "clock").distinct().join(there, ["sid", "clock"], "left").select("sid", "clock", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def predecessors(points: DataFrame, asked: DataFrame, target_rows: int = lanes.TARGET_ROWS) -> DataFrame:
     """Extension: for each asked (sid, clock) the nearest point at or before it (point_clock, value), null if there is none.
 

@@ -76,3 +76,8 @@ def expire_shards(shards: DataFrame, days: int, now: int) -> DataFrame:
 def is_old(now: int) -> Column:
     """Whether a shard takes no more points: it has ended."""
     return F.col("end") <= now
+
+
+def in_time_order(rows: DataFrame, name: str, start: str = "min_clock", end: str = "max_clock") -> DataFrame:
+    """Adds ``place``: the number of a file, block or shard in the order of time, from 1; for listings, which are small."""
+    return rows.withColumn("place", F.expr(f"row_number() over (order by {start}, {end}, {name})").cast("long"))

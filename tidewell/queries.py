@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import changefeed, grid, rolling, spikes
+from tidewell.sources.deltas import DeltaTable
+from tidewell.sources.files import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changefeed.apply_changes(table(spark, sf_dir, "wal_entries"))
 
 
+def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p3_found from insert and delete files, which take the feed in three commits that are out of order; the last is compacted with the rest."""
+    feed, deltas = table(spark, sf_dir, "wal_entries"), DeltaTable(spark, scratch(spark))
+    for part in (2, 0, 1):
+        deltas.append(feed.filter(f"pmod(seq, 3) = {part}"))
+    deltas.append(feed.filter("seq is null"))
+    deltas.compact()
+    return deltas.read().select("sid", "clock", "seq")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.implausible(table(spark, sf_dir, "points_double"), table(spark, sf_dir, "series_registry")).select("sid", "clock")
 
@@ -44,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_grid": p2_grid,
     "p3_found": p3_found,
+    "p3_files": p3_files,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_totals": p6_totals,
@@ -73,6 +86,11 @@ select sid, clock from s where value < lo or value > hi
 union select sid, clock from s join spike using (sid, n)
 union select sid, clock from s join stuck using (sid, n)"""
 
+CHANGES = """with w as (select seq,lower(trim(kind, ' ' || chr(9) || chr(10) || chr(13))) kind,sid,clock,value,min_clock,max_clock from wal_entries),
+p as (select sid,clock,max(seq) seq from w where kind='write' and value is not null and not isnan(value) group by 1,2),
+d as (select sid,seq,case when kind='delete' then null else min_clock end lo,case when kind='delete' then null else max_clock end hi from w where kind in('delete','delete_range'))
+select sid,clock,seq from p where not exists (select 1 from d where d.sid=p.sid and d.seq>p.seq and (lo is null or lo<=clock) and (hi is null or clock<=hi))"""
+
 SQL: dict[str, str] = {
     "p2_found": f"""with cur as (
   {CURRENT}), st as (select sid,min(step_ticks) step from series_registry where step_ticks>0 group by sid),
@@ -89,10 +107,8 @@ filled as (select sid, unnest(range(pslot + step, slot, step)) slot_clock, step,
 select * from reading
 union all select sid, slot_clock, 1::bigint, case when isfinite(pv + slope * (slot_clock - pc)) then pv + slope * (slot_clock - pc) end, 'filled' from filled
 union all select sid, pslot + step, (slot - pslot) // step - 1, null, 'silence' from f where slot - pslot > {grid.GAP_LIMIT}""",
-    "p3_found": """with w as (select seq,lower(trim(kind, ' ' || chr(9) || chr(10) || chr(13))) kind,sid,clock,value,min_clock,max_clock from wal_entries),
-p as (select sid,clock,max(seq) seq from w where kind='write' and value is not null and not isnan(value) group by 1,2),
-d as (select sid,seq,case when kind='delete' then null else min_clock end lo,case when kind='delete' then null else max_clock end hi from w where kind in('delete','delete_range'))
-select sid,clock,seq from p where not exists (select 1 from d where d.sid=p.sid and d.seq>p.seq and (lo is null or lo<=clock) and (hi is null or clock<=hi))""",
+    "p3_found": CHANGES,
+    "p3_files": CHANGES,
     "p5_found": IMPLAUSIBLE,
     "p6_found": f"""with cur as (
   {CURRENT}), m as (select sid,max(phys_lo) lo,min(phys_hi) hi from series_registry where meas='meter' group by sid),

@@ -124,3 +124,39 @@ def test_many_tiny_series_need_little_memory():
     tracemalloc.stop()
     right = np.isclose(got, v[:, None], rtol=2**-23)
     assert right.mean() > 0.999 and peak < 150e6
+
+
+@pytest.mark.parametrize("target", [10**6, 150])
+def test_days_at_the_default_width(spark, points, target):
+    """Small days are kept as counted codes, a large one as cells, and a long series in several rows a day."""
+    rng = np.random.default_rng(8)
+    day = sketch.DAY_TICKS
+    data = [(s, d * day + int(c), float(v), 0, i) for s in (1, 2) for d in range(4) for i, (c, v) in enumerate(zip(rng.choice(day, 150, replace=False), np.round(rng.normal(s, 4, 150), 2), strict=True))]
+    kept = sketch.daily_sketches(points([*data, data[0], (1, 5, float("nan"), 0, 9), (None, 5, 1.0, 0, 9)]), target_rows=target)
+    assert kept.filter("cells is not null").count() == 0 and kept.select("sid", "day_no").distinct().count() == 8
+    got = {(r.sid, r.pct): r.value for r in sketch.merge_daily(kept).collect()}
+    assert set(got) == {(s, p) for s in (1, 2) for p in (50, 90, 99)}
+    for (s, p), q in got.items():
+        assert rank_error(np.array([v for a, _, v, _, _ in data if a == s]), p, q) <= 0.003
+    assert sketch.merge_daily(kept.limit(0)).collect() == []
+
+
+def test_codes_become_cells_when_they_are_many(monkeypatch):
+    rng = np.random.default_rng(4)
+    a, b = (np.round(rng.normal(k, 5, 3000), 3) for k in (0, 4))
+    _, code, n = sketch.counted(np.zeros(3000, np.int64), sketch.encode(a).astype(np.int64))
+    parts = [sketch.code_rows(np.array([7]), None, np.array([len(code)]), code, n), sketch.cell_rows(7, sketch.DyadicSketch(12).update(b)), sketch.code_rows(np.array([8]), None, np.array([1]), code[:1], n[:1])]
+    whole = sketch.DyadicSketch(12).update(np.r_[a, b])
+    for limit in (10**9, 100):
+        monkeypatch.setattr(sketch, "most_codes", lambda w, limit=limit: limit)
+        summed = list(sketch.added(iter(parts), 12))
+        assert (sketch.DyadicSketch.from_bytes(summed[0].column("cells")[0].as_py()).cells == whole.cells).all()
+        got = {(r["sid"], r["pct"]): r["value"] for x in sketch.added(iter(summed), 12, (50, 90)) for r in x.to_pylist()}
+        assert got[7, 50] == whole.percentiles((50, 90))[0] and np.isclose(got[8, 90], a.min(), rtol=1e-6)
+
+
+def test_rank_errors_are_measured(spark, points):
+    df = points([(s, i, float(i % 97), 0, i) for s in (1, 2) for i in range(500)])
+    good = sketch.percentiles(df)
+    assert rows(sketch.rank_errors(df, good), "pct", "n_sids", "n_within") == [(50, 2, 2), (90, 2, 2), (99, 2, 2)]
+    assert {r.n_within for r in sketch.rank_errors(df, good.withColumn("value", good.value - 20)).collect()} == {0}

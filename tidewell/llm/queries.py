@@ -8,12 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm import bpe, packing, reading, runs, sketch
 from tidewell.queries import CURRENT, table
+from tidewell.sources.files import scratch
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.above_limit(table(spark, sf_dir, "points_double"), table(spark, sf_dir, "series_registry"))
 
 
+def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.percentiles(table(spark, sf_dir, "points_double"))
+
+
+def p1_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p1_found from sketches of single days, which are kept as a table and merged."""
+    path = scratch(spark)
+    sketch.daily_sketches(table(spark, sf_dir, "points_double")).write.parquet(path)
+    return sketch.above(sketch.merge_daily(spark.read.parquet(path)), table(spark, sf_dir, "series_registry"))
+
+
+def p1_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "points_double")
+    return sketch.rank_errors(points, sketch.percentiles(points)).select("pct", "n_sids", "n_within")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.collapse_runs(table(spark, sf_dir, "points_bool")).select("sid", "start_clock", "end_clock", "n_points")
 
@@ -44,6 +61,9 @@ def p9_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_values": p1_values,
+    "p1_daily": p1_daily,
+    "p1_ranks": p1_ranks,
     "p4_found": p4_found,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
@@ -53,11 +73,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_validation": p9_validation,
 }
 
-SQL: dict[str, str] = {
-    "p1_found": f"""with cur as (
+ABOVE = f"""with cur as (
   {CURRENT}), q as (select sid, quantile_disc(value,0.5) q50, quantile_disc(value,0.9) q90, quantile_disc(value,0.99) q99 from cur group by sid),
 l as (select sid,max(p50_limit) l50,max(p90_limit) l90,max(p99_limit) l99 from series_registry group by sid), j as (select * from q join l using(sid))
-select sid,50 pct from j where q50>l50 union all select sid,90 from j where q90>l90 union all select sid,99 from j where q99>l99""",
+select sid,50 pct from j where q50>l50 union all select sid,90 from j where q90>l90 union all select sid,99 from j where q99>l99"""
+
+SQL: dict[str, str] = {
+    "p1_found": ABOVE,
+    "p1_daily": ABOVE,
+    "p1_ranks": f"""with cur as (
+  {CURRENT}), n as (select count(distinct sid) n from cur) select pct::int pct, n n_sids, n n_within from n, (values (50), (90), (99)) t(pct)""",
     "p8_check": """select pack_id, (select count(distinct doc_id) from documents) documents, (select count(*) from documents) rows_of_documents, 0::bigint overfull, 0::bigint broken, true tight
 from pack_sizes""",
     "p4_found": """with cur as (select sid,clock,value,seq from points_bool where value is not null qualify row_number() over (partition by sid,clock order by seq desc)=1),

@@ -7,6 +7,9 @@ adding their cells, a value is deleted by adding -1, and a sketch folds to half
 of each row, so sketches of different widths can be merged. A percentile is found by descending the levels:
 at each node, the estimated count of the left half decides on which side the wanted rank lies.
 
+A sketch of few distinct codes is kept as these codes with their counts, as long as that is smaller than its cells; the
+cells follow from them. Sketches are added up in each task, then over salts of a series, then by series.
+
 Error: a node's count is off by about sqrt(F2 / width) per level (F2: sum of squared counts), median of DEPTH
 rows. With a width of 4096 a rank is off by about 0.1 % of n for a thousand values and less for more.
 """
@@ -22,13 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators import lanes
+from tidewell.operators import lanes, merge, rolling
 
 BITS, LEVELS, DEPTH = 36, 24, 5
 TOP = 1 << (BITS - LEVELS)
 WIDTH_BITS, LEAST_WIDTH_BITS = 12, 6
 #: Cells of a level that are held at once while a block of series is sketched.
 MOST_CELLS = 1 << 19
+#: Share of the readings of a sid by which a rank may be off.
+LARGEST_ERROR = 0.002
 _SIGN = np.uint64(1 << 63)
 _random = np.random.default_rng(20190823)
 #: Fixed by the seed, so that sketches of different jobs can be merged.
@@ -119,7 +124,9 @@ class DyadicSketch:
         values = np.asarray(values, np.float64)
         weights = np.broadcast_to(np.asarray(weight, np.float64), values.shape)
         ok = ~np.isnan(values)
-        code, weights = encode(values[ok]), weights[ok]
+        return self.add_codes(encode(values[ok]), weights[ok])
+
+    def add_codes(self, code: np.ndarray, weights: np.ndarray) -> DyadicSketch:
         self.top += np.bincount((code >> np.uint64(LEVELS)).astype(np.int64), weights=weights, minlength=TOP).astype(np.int64)
         zero, shift = np.zeros(len(code), np.int64), np.full(len(code), 64 - self.width_bits, np.uint64)
         for level in range(LEVELS):
@@ -156,13 +163,13 @@ class DyadicSketch:
         return out
 
 
-def block_percentiles(g: np.ndarray, value: np.ndarray, groups: int, percents: tuple[float, ...]) -> np.ndarray:
+def block_percentiles(g: np.ndarray, value: np.ndarray, groups: int, percents: tuple[float, ...], weight: np.ndarray | None = None, coded: bool = False) -> np.ndarray:
     """Sketches the groups of a block side by side, and descends them together, one level at a time.
 
-    g: group of each value, ascending. A group of n values gets a width of at least 16 n, from
-    2**LEAST_WIDTH_BITS up to 2**WIDTH_BITS.
+    g: group of each value, ascending; coded: values are codes, each counted by its weight. A group of n values gets a
+    width of at least 16 n, from 2**LEAST_WIDTH_BITS up to 2**WIDTH_BITS.
     """
-    code = encode(value)
+    code = value if coded else encode(value)
     n = np.bincount(g, minlength=groups)
     bits = np.clip(np.ceil(np.log2(np.maximum(n, 1) * 16.0)).astype(np.int64), LEAST_WIDTH_BITS, WIDTH_BITS)
     width = np.left_shift(1, bits)
@@ -176,14 +183,126 @@ def block_percentiles(g: np.ndarray, value: np.ndarray, groups: int, percents: t
         own, c = g[i:j] - a, code[i:j]
         offset = np.cumsum(width[a:z]) - width[a:z]
         shift = (64 - bits[a:z]).astype(np.uint64)
-        top = np.unique(own * TOP + (c >> np.uint64(LEVELS)).astype(np.int64), return_counts=True)
+        w = None if weight is None else weight[i:j].astype(np.float64)
+        nodes = own * TOP + (c >> np.uint64(LEVELS)).astype(np.int64)
+        if w is None:
+            top = np.unique(nodes, return_counts=True)
+        else:
+            places, at = np.unique(nodes, return_inverse=True)
+            top = places, np.bincount(at, w).astype(np.int64)
         of, sh, total = offset[own], shift[own], int(width[a:z].sum())
-        out[a:z] = _descend(lambda level, c=c, of=of, sh=sh, total=total: _cells(c, None, of, sh, total, level), top, offset, shift, percents)
+        out[a:z] = _descend(lambda level, c=c, w=w, of=of, sh=sh, total=total: _cells(c, w, of, sh, total, level), top, offset, shift, percents)
     return out
 
 
-SKETCH_SCHEMA = pa.schema([("sid", pa.int64()), ("pct", pa.int32()), ("value", pa.float64()), ("sketch", pa.binary())])
-SKETCH_DDL = "sid bigint, pct int, value double, sketch binary"
+#: A row is a percentile, or a sketch as counted codes or as cells.
+SKETCH_SCHEMA = pa.schema(
+    [("sid", pa.int64()), ("pct", pa.int32()), ("value", pa.float64()), ("day_no", pa.int64()), ("codes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("cells", pa.binary())]
+)
+SKETCH_DDL = "sid bigint, pct int, value double, day_no bigint, codes array<bigint>, counts array<bigint>, cells binary"
+DAY_TICKS = 864_000_000_000
+
+
+def most_codes(width_bits: int) -> int:
+    """Distinct codes up to which they take less room than the cells, at 16 bytes a code and 4 a cell."""
+    return (LEVELS * DEPTH << width_bits) // 4
+
+
+def value_rows(sid: np.ndarray, percents: tuple[int, ...], values: np.ndarray) -> pa.RecordBatch:
+    n = values.size
+    return lanes.batch(SKETCH_SCHEMA, np.repeat(sid, len(percents)), np.tile(np.array(percents, np.int32), len(values)), values.ravel(), *[pa.nulls(n, SKETCH_SCHEMA.field(k).type) for k in range(3, 7)])
+
+
+def code_rows(sid: np.ndarray, day: np.ndarray | None, ends: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Sketches as counted codes; ends: behind the last code of each."""
+    n = len(sid)
+    offsets = pa.array(np.r_[0, ends], pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int64())) for v in (codes, counts)]
+    days = pa.nulls(n, pa.int64()) if day is None else pa.array(day, pa.int64())
+    return lanes.batch(SKETCH_SCHEMA, sid, pa.nulls(n, pa.int32()), pa.nulls(n, pa.float64()), days, *lists, pa.nulls(n, pa.binary()))
+
+
+def cell_rows(sid: int, sketch: DyadicSketch, day: int | None = None) -> pa.RecordBatch:
+    none = [pa.nulls(1, SKETCH_SCHEMA.field(k).type) for k in (1, 2)], [pa.nulls(1, SKETCH_SCHEMA.field(k).type) for k in (4, 5)]
+    return lanes.batch(SKETCH_SCHEMA, np.array([sid]), *none[0], pa.array([day], pa.int64()), *none[1], pa.array([sketch.to_bytes()], pa.binary()))
+
+
+def counted(g: np.ndarray, code: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (group, code) in order, and how often each occurs."""
+    order = np.lexsort((code, g))
+    g, code = g[order], code[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (code[1:] != code[:-1])
+    first = np.flatnonzero(new)
+    n = np.diff(np.r_[first, len(g)]) if weight is None else np.add.reduceat(weight[order], first) if len(first) else np.zeros(0, np.int64)
+    return g[first], code[first], n
+
+
+def added(batches: Iterator[pa.RecordBatch], width_bits: int, percents: tuple[int, ...] | None = None) -> Iterator[pa.RecordBatch]:
+    """Adds up the sketches of each sid in a stream in the order of sid; rows of percentiles pass. percents: inverts the sums.
+
+    Holds one sid's sum, and of those that are to be inverted some that are small.
+    """
+    sid: int | None = None
+    codes, counts, held = [], [], 0
+    dense: DyadicSketch | None = None
+    small: list[tuple[int, np.ndarray, np.ndarray]] = []  # sums that are to be inverted together
+
+    def shrink() -> None:
+        nonlocal codes, counts, held, dense
+        if codes:
+            _, c, n = counted(np.zeros(held, np.int64), np.concatenate(codes), np.concatenate(counts))
+            codes, counts, held = [c], [n], len(c)
+            if held > most_codes(width_bits) or dense is not None:
+                sketch = DyadicSketch(width_bits).add_codes(c.astype(np.uint64), n.astype(np.float64))
+                dense = sketch if dense is None else dense.merge(sketch)
+                codes, counts, held = [], [], 0
+
+    def invert() -> Iterator[pa.RecordBatch]:
+        if small:
+            g = np.repeat(np.arange(len(small)), [len(c) for _, c, _ in small])
+            code, n = (np.concatenate([x[k] for x in small]) for k in (1, 2))
+            yield value_rows(np.array([x[0] for x in small]), percents, block_percentiles(g, code.astype(np.uint64), len(small), percents, n, coded=True))
+            small.clear()
+
+    def close() -> Iterator[pa.RecordBatch]:
+        nonlocal codes, counts, held, dense
+        shrink()
+        if dense is not None:
+            yield value_rows(np.array([sid]), percents, dense.percentiles(percents)[None]) if percents else cell_rows(sid, dense)
+        elif held and percents:
+            small.append((sid, codes[0], counts[0]))
+            if sum(len(x[1]) for x in small) >= lanes.BLOCK_ROWS:
+                yield from invert()
+        elif held:
+            yield code_rows(np.array([sid]), None, np.array([held]), codes[0], counts[0])
+        codes, counts, held, dense = [], [], 0, None
+
+    for b in batches:
+        has = pc.or_(b.column("codes").is_valid(), b.column("cells").is_valid())
+        if plain := pc.sum(pc.invert(has)).as_py():
+            yield b.filter(pc.invert(has)) if plain < b.num_rows else b
+        b = b.filter(has)
+        of = b.column("sid").to_numpy()
+        _, first = lanes.group_index(of)
+        for i, a in enumerate(first):
+            z = first[i + 1] if i + 1 < len(first) else len(of)
+            if of[a] != sid:
+                yield from close()
+                sid = int(of[a])
+            part = b.slice(a, z - a)
+            c, n = (part.column(k).flatten().to_numpy() for k in ("codes", "counts"))
+            if len(c):
+                codes.append(c)
+                counts.append(n)
+                held += len(c)
+                if held > 2 * most_codes(width_bits):
+                    shrink()
+            for data in part.column("cells").drop_null().to_pylist():
+                sketch = DyadicSketch.from_bytes(data)
+                dense = sketch if dense is None else dense.merge(sketch)
+    yield from close()
+    yield from invert()
 
 
 def percentiles(points: DataFrame, percents: tuple[int, ...] = (50, 90, 99), target_rows: int = lanes.TARGET_ROWS) -> DataFrame:
@@ -200,72 +319,89 @@ def percentiles(points: DataFrame, percents: tuple[int, ...] = (50, 90, 99), tar
         x = lanes.read_block(b, 1)
         parted = np.isin(x.lane_sid, split)
         for i in np.flatnonzero(parted):
-            sketch = DyadicSketch().update(x.value[x.g == i])
-            yield lanes.batch(SKETCH_SCHEMA, x.lane_sid[i : i + 1], pa.array([None], pa.int32()), pa.array([None], pa.float64()), pa.array([sketch.to_bytes()], pa.binary()))
+            yield cell_rows(int(x.lane_sid[i]), DyadicSketch().update(x.value[x.g == i]))
         whole = ~parted[x.g]
         if not whole.any():
             return
         number = np.cumsum(~parted) - 1
-        values = block_percentiles(number[x.g[whole]], x.value[whole], int((~parted).sum()), percents)
-        sid = np.repeat(x.lane_sid[~parted], len(percents))
-        yield lanes.batch(SKETCH_SCHEMA, sid, np.tile(np.array(percents, np.int32), len(values)), values.ravel(), pa.nulls(len(sid), pa.binary()))
+        yield value_rows(x.lane_sid[~parted], percents, block_percentiles(number[x.g[whole]], x.value[whole], int((~parted).sum()), percents))
 
     found = lanes.lane_pass(lanes.reading_rows(points, plan), plan, block, SKETCH_DDL)
     if plan.heavy:
-        found = merged(found, percents)
+        found = merged(found, percents, WIDTH_BITS)
     return found.select("sid", "pct", "value")
 
 
-def merged(parts: DataFrame, percents: tuple[int, ...]) -> DataFrame:
-    """Adds up the sketches of each sid, and inverts them; rows without a sketch pass."""
+def merged(parts: DataFrame, percents: tuple[int, ...], width_bits: int) -> DataFrame:
+    """Adds up the sketches of each sid, and inverts them; rows of percentiles pass. First where they are, then in salts of a
+    sid, about as many as the root of the tasks, then by sid: no task adds up more than about that many of a sid's sums."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sid, total = None, None
+    def step(rows: DataFrame, values: tuple[int, ...] | None) -> DataFrame:
+        return rows.sortWithinPartitions("sid").mapInArrow(lambda batches: added(batches, width_bits, values), SKETCH_DDL)
 
-        def close() -> Iterator[pa.RecordBatch]:
-            if total is not None:
-                values = total.percentiles(percents)
-                yield lanes.batch(SKETCH_SCHEMA, np.full(len(percents), sid), np.array(percents, np.int32), values, pa.nulls(len(percents), pa.binary()))
+    rows = step(parts, None)
+    salts = max(1, int(parts.sparkSession.sparkContext.defaultParallelism ** 0.5), int(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    salted = rows.withColumn("_salt", F.spark_partition_id() % salts).repartition("sid", "_salt").drop("_salt")
+    return step(step(salted, None).repartition("sid"), percents)
 
-        for b in batches:
-            has = b.column("sketch").is_valid()
-            yield b.filter(pc.invert(has))
-            for r in b.filter(has).to_pylist():
-                if r["sid"] != sid:
-                    yield from close()
-                    sid, total = r["sid"], None
-                part = DyadicSketch.from_bytes(r["sketch"])
-                total = part if total is None else total.merge(part)
-        yield from close()
 
-    return parts.repartition("sid").sortWithinPartitions("sid").mapInArrow(run, SKETCH_DDL)
+def daily_sketches(points: DataFrame, day_ticks: int = DAY_TICKS, width_bits: int = 10, target_rows: int = lanes.TARGET_ROWS) -> DataFrame:
+    """(sid, day_no, codes, counts, cells): a sketch of the current values of each sid and day, to be kept and merged later.
 
-
-def daily_sketches(points: DataFrame, day_ticks: int = 864_000_000_000, width_bits: int = 10) -> DataFrame:
-    """(sid, day_no, sketch): a sketch of the current values of each sid and day, to be kept and merged later."""
-    day = F.expr(f"(clock - pmod(clock, {day_ticks})) div {day_ticks}")
-    rows = lanes.live(points).select("sid", day.alias("lane"), "clock", F.coalesce("seq", F.lit(lanes.CONFIG_CLOCK)).alias("seq"), "value", F.lit(lanes.READING).cast("tinyint").alias("tag"))
-    schema = pa.schema([("sid", pa.int64()), ("day_no", pa.int64()), ("sketch", pa.binary())])
+    codes and counts where these are smaller, else cells. Null and NaN values are set aside; of repeated (sid, clock) the
+    highest seq counts. A day of a long series may have several rows, one for each task that held a part of it.
+    """
+    plan = lanes.LanePlan.of(points, target_rows)
+    limit = most_codes(width_bits)
 
     def block(b: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         x = lanes.read_block(b, 1)
-        end = np.cumsum(np.bincount(x.g, minlength=len(x.lane_sid)))
-        for i, z in enumerate(end):
-            data = DyadicSketch(width_bits).update(x.value[(end[i - 1] if i else 0) : z]).to_bytes()
-            yield lanes.batch(schema, x.lane_sid[i : i + 1], x.lane[i : i + 1], pa.array([data], pa.binary()))
+        if not len(x.g):
+            return
+        day = x.clock // day_ticks
+        g, first = lanes.group_index(x.g, day)
+        at, code, n = counted(g, encode(x.value).astype(np.int64))
+        size = np.bincount(at, minlength=len(first))
+        large = size > limit
+        for i in np.flatnonzero(large):
+            k = at == i
+            yield cell_rows(int(x.sid[first[i]]), DyadicSketch(width_bits).add_codes(code[k].astype(np.uint64), n[k].astype(np.float64)), int(day[first[i]]))
+        k = ~large[at]
+        yield code_rows(x.sid[first[~large]], day[first[~large]], np.cumsum(size[~large]), code[k], n[k])
 
-    return lanes.lane_pass(rows, lanes.LanePlan(points.sparkSession, points.count(), []), block, "sid bigint, day_no bigint, sketch binary")
+    found = lanes.lane_pass(lanes.reading_rows(points, plan), plan, block, SKETCH_DDL)
+    return found.select("sid", "day_no", "codes", "counts", "cells")
 
 
-def merge_daily(sketches: DataFrame, percents: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
+def merge_daily(sketches: DataFrame, percents: tuple[int, ...] = (50, 90, 99), width_bits: int = 10) -> DataFrame:
     """(sid, pct, value) from sketches of any days."""
-    return merged(sketches.select("sid", F.lit(None).cast("int").alias("pct"), F.lit(None).cast("double").alias("value"), "sketch"), percents).select("sid", "pct", "value")
+    none = F.lit(None)
+    rows = sketches.select("sid", none.cast("int").alias("pct"), none.cast("double").alias("value"), "day_no", "codes", "counts", "cells")
+    return merged(rows, percents, width_bits).select("sid", "pct", "value")
 
 
-def above_limit(points: DataFrame, registry: DataFrame, target_rows: int = lanes.TARGET_ROWS) -> DataFrame:
-    """(sid, pct) of the percentiles of registered sids that are greater than their limit; null or NaN limits do not count."""
-    percents = (50, 90, 99)
+def above(found: DataFrame, registry: DataFrame, percents: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
+    """(sid, pct) of the percentiles (sid, pct, value) of registered sids that are greater than their limit; null or NaN
+    limits do not count."""
     limits = registry.filter("sid is not null").groupBy("sid").agg(*[F.max(F.nanvl(f"p{p}_limit", F.lit(None).cast("double"))).alias(f"l{p}") for p in percents])
     stacked = limits.select("sid", F.explode(F.array(*[F.struct(F.lit(p).alias("pct"), F.col(f"l{p}").alias("limit")) for p in percents])).alias("x")).select("sid", "x.pct", "x.limit")
-    found = percentiles(points, percents, target_rows)
     return found.join(stacked.filter("limit is not null"), ["sid", "pct"]).filter(F.col("value") > F.col("limit")).select("sid", "pct")
+
+
+def above_limit(points: DataFrame, registry: DataFrame, target_rows: int = lanes.TARGET_ROWS) -> DataFrame:
+    """(sid, pct) of the percentiles of registered sids that are greater than their limit; null or NaN limits do not count."""
+    return above(percentiles(points, (50, 90, 99), target_rows), registry)
+
+
+def rank_errors(points: DataFrame, found: DataFrame) -> DataFrame:
+    """(pct, n_sids, n_within, largest): of the percentiles (sid, pct, value) how many lie within a share of LARGEST_ERROR and
+    one of the readings from their rank, and the largest distance, measured over all current readings."""
+    current = merge.last_write_wins(lanes.live(points)).select("sid", "value")
+    wide = found.groupBy("sid").agg(F.collect_list(F.struct("pct", F.col("value").alias("q"))).alias("p"))
+    near = F.abs("q") * 2**-22 + 1e-12
+    ranks = rolling.lookup(current, wide, "sid").select("sid", "value", F.explode("p").alias("p")).select("sid", "value", "p.pct", "p.q")
+    below, upto = F.count(F.when(F.col("value") < F.col("q") - near, 1)), F.count(F.when(F.col("value") <= F.col("q") + near, 1))
+    ranks = ranks.groupBy("sid", "pct").agg(below.alias("below"), upto.alias("upto"), F.count(F.lit(1)).alias("n")).withColumn("want", F.col("pct") / 100 * F.col("n"))
+    off = F.greatest(F.lit(0.0), F.col("below") - F.col("want"), F.col("want") - F.col("upto"))
+    within = off <= LARGEST_ERROR * F.col("n") + 1
+    return ranks.groupBy("pct").agg(F.count(F.lit(1)).alias("n_sids"), F.count(F.when(within, 1)).alias("n_within"), F.max(off / F.col("n")).alias("largest"))

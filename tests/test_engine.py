@@ -255,3 +255,32 @@ def test_tombstones_keep_rows_without_keys(points):
     t = points([(1, 5, 1.0, 0, 9)]).selectExpr("sid", "clock min_clock", "clock max_clock", "seq")
     assert len(rows(merge.apply_tombstones(p, t), "sid", "clock", "seq")) == 3
     assert merge.apply_tombstones(p, t.limit(0)).count() == 5 and merge.apply_tombstones(p, t).columns == p.columns
+
+
+def test_blocks_do_not_depend_on_lanes(points):
+    rnd = random.Random(4)
+    p = points([(s, rnd.randrange(10**6), rnd.gauss(0, 9), 0, c) for s in (1, 2) for c in range(2000)])
+    a, b = (rows(blocks.encode_points(p, 100, t), "sid", "min_clock", "max_clock", "n_points", "crc") for t in (10**6, 250))
+    assert a == b and all(r[3] == 100 for r in a if r != max(x for x in a if x[0] == r[0]))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 2**60 - 1)), max_size=400))
+def test_packed_words_take_as_many_values_as_they_can(xs):
+    """Against a plain loop over the selectors."""
+    words, i = [], 0
+    while i < len(xs):
+        for k, (n, b) in enumerate(zip(codecs.PER_WORD, codecs.BITS_EACH, strict=True)):
+            part = xs[i : i + n]
+            if len(part) == n and (all(v == 1 for v in part) if b == 0 else max(part) < 1 << b):
+                words.append(k << 60 | sum(v << (j * b) for j, v in enumerate(part) if b))
+                i += n
+                break
+    assert codecs.pack(xs) == struct.pack(f">{len(words)}Q", *words) and codecs.unpack(codecs.pack(xs)).tolist() == xs
+
+
+def test_bits_that_round_up_to_a_power_of_two():
+    import numpy as np
+
+    x = [0, 1, 2**53 - 1, 2**53, 2**54 - 1, 2**60 - 1, 2**63 - 1, 2**63, 2**64 - 1]
+    assert codecs.bit_lengths(np.array(x, np.uint64)).tolist() == [v.bit_length() for v in x]

@@ -8,8 +8,6 @@ the scheme in its upper half.
 
 from __future__ import annotations
 
-import struct
-
 import numpy as np
 import pyarrow as pa
 
@@ -20,7 +18,6 @@ LARGEST_PACKED = 2**60 - 1
 #: Fixed values of Simple-8b: how many values a word holds under each selector, and the bits of each.
 PER_WORD = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS_EACH = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
-_MASK64 = 2**64 - 1
 
 
 def put_varint(x: int) -> bytes:
@@ -53,71 +50,105 @@ def get_count(data: bytes, at: int) -> tuple[int, int]:
     return x >> 1, at
 
 
-def pack(values: list[int]) -> bytes:
+def bit_lengths(x: np.ndarray) -> np.ndarray:
+    """Of unsigned 64-bit numbers; 0 of 0."""
+    n = np.frexp(x.astype(np.float64))[1].astype(np.int64)
+    # a number that was rounded up to a power of two has one bit less
+    over = (n > 64) | (n > 0) & ((x >> np.clip(n - 1, 0, 63).astype(np.uint64)) == 0)
+    return n - over
+
+
+def pack(values: np.ndarray | list[int]) -> bytes:
     """Simple-8b of values up to 2**60 - 1; each word takes as many of the next values as any selector lets it."""
-    widths = [v.bit_length() for v in values]
-    words, i, n = [], 0, len(values)
+    x = np.asarray(values, np.uint64)
+    n = len(x)
+    if not n:
+        return b""
+    width = bit_lengths(x)
+    if width.max() > BITS_EACH[-1]:
+        raise ValueError("a value above 2**60 - 1")
+    place = np.arange(n)
+
+    def run(bad: np.ndarray) -> np.ndarray:
+        """From each place on, how many values come before the next bad one."""
+        return np.minimum.accumulate(np.where(bad, place, n)[::-1])[::-1] - place
+
+    choice = np.full(n, -1)
+    free = np.ones(n, bool)
+    runs: dict[int, np.ndarray] = {}
+    for selector, (count, bits) in enumerate(zip(PER_WORD, BITS_EACH, strict=True)):
+        if count > n:
+            continue
+        if bits not in runs:
+            runs[bits] = run(width > bits) if bits else run(x != 1)
+        fits = free & (runs[bits] >= count)
+        choice[fits] = selector
+        free &= ~fits
+    step = np.array(PER_WORD)[choice].tolist()
+    starts, i = [], 0
     while i < n:
-        for selector, (count, bits) in enumerate(zip(PER_WORD, BITS_EACH, strict=True)):
-            if count > n - i:
-                continue
-            if (bits == 0 and values[i] == 1 and all(v == 1 for v in values[i : i + count])) or (bits and max(widths[i : i + count]) <= bits):
-                break
-        else:
-            raise ValueError("a value above 2**60 - 1")
-        word = selector << 60
-        if bits:
-            for k, v in enumerate(values[i : i + count]):
-                word |= v << (k * bits)
-        words.append(word)
-        i += count
-    return struct.pack(f">{len(words)}Q", *words)
-
-
-def unpack(data: bytes) -> list[int]:
-    out: list[int] = []
-    for (word,) in struct.iter_unpack(">Q", data):
-        count, bits = PER_WORD[word >> 60], BITS_EACH[word >> 60]
-        out.extend([1] * count if not bits else [(word >> (k * bits)) & ((1 << bits) - 1) for k in range(count)])
+        starts.append(i)
+        i += step[i]
+    at = np.array(starts)
+    chosen = choice[at]
+    words = chosen.astype(np.uint64) << np.uint64(60)
+    for selector in np.unique(chosen):
+        if bits := BITS_EACH[selector]:
+            own = np.flatnonzero(chosen == selector)
+            k = np.arange(PER_WORD[selector])
+            words[own] |= np.bitwise_or.reduce(x[at[own, None] + k] << (k * bits).astype(np.uint64), axis=1)
+    return words.astype(">u8").tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    words = np.frombuffer(data, ">u8").astype(np.uint64)
+    selector = (words >> np.uint64(60)).astype(np.int64)
+    count, bits = np.array(PER_WORD)[selector], np.array(BITS_EACH)[selector]
+    width = np.repeat(bits, count).astype(np.uint64)
+    nth = (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+    out = (np.repeat(words, count) >> (nth * width)) & ((np.uint64(1) << width) - np.uint64(1))
+    out[width == 0] = 1
     return out
 
 
 def packed_count(data: bytes) -> int:
-    return sum(PER_WORD[w >> 60] for (w,) in struct.iter_unpack(">Q", data))
+    return int(np.array(PER_WORD)[np.frombuffer(data, ">u8").astype(np.uint64) >> np.uint64(60)].sum())
 
 
-def encode_clocks(clocks: list[int]) -> bytes:
-    if not clocks:
+def encode_clocks(clocks: np.ndarray | list[int]) -> bytes:
+    x = np.asarray(clocks, np.int64).view(np.uint64)
+    if not len(x):
         return b""
-    deltas = [b - a & _MASK64 for a, b in zip(clocks, clocks[1:])]
-    first = struct.pack(">Q", clocks[0])
+    deltas = np.diff(x)
+    first = x[:1].astype(">u8").tobytes()
     power = 12
-    if deltas and len(set(deltas)) == 1:
-        while deltas[0] % 10**power:
-            power -= 1
-        return bytes([RLE << 4 | power]) + first + put_varint(deltas[0] // 10**power << 1) + put_count(len(clocks))
-    if deltas and max(deltas) > LARGEST_PACKED:
-        return bytes([RAW << 4]) + first + struct.pack(f">{len(deltas)}Q", *deltas)
-    for d in deltas:
-        while d % 10**power:
+    if len(deltas) and (deltas == deltas[0]).all():
+        step = int(deltas[0])
+        while step % 10**power:
             power -= 1
-    return bytes([PACKED << 4 | power]) + first + pack([d // 10**power for d in deltas])
+        return bytes([RLE << 4 | power]) + first + put_varint(step // 10**power << 1) + put_count(len(x))
+    if len(deltas) and deltas.max() > LARGEST_PACKED:
+        return bytes([RAW << 4]) + first + deltas.astype(">u8").tobytes()
+    while power and (deltas % np.uint64(10**power)).any():
+        power -= 1
+    return bytes([PACKED << 4 | power]) + first + pack(deltas // np.uint64(10**power))
 
 
-def decode_clocks(data: bytes) -> list[int]:
+def clock_array(data: bytes) -> np.ndarray:
     if not data:
-        return []
-    scheme, unit = data[0] >> 4, 10 ** (data[0] & 15)
-    (first,) = struct.unpack_from(">Q", data, 1)
+        return np.zeros(0, np.int64)
+    scheme, unit = data[0] >> 4, np.uint64(10 ** (data[0] & 15))
+    first = np.frombuffer(data[1:9], ">u8").astype(np.uint64)
     if scheme == RLE:
         step, at = get_varint(data, 9)
         n, _ = get_count(data, at)
-        return [first + k * (step >> 1) * unit for k in range(n)]
-    deltas = [w for (w,) in struct.iter_unpack(">Q", data[9:])] if scheme == RAW else [d * unit for d in unpack(data[9:])]
-    out = [first]
-    for d in deltas:
-        out.append(out[-1] + d & _MASK64)
-    return out
+        return (first + np.arange(n, dtype=np.uint64) * np.uint64(step >> 1) * unit).view(np.int64)
+    deltas = np.frombuffer(data[9:], ">u8").astype(np.uint64) if scheme == RAW else unpack(data[9:]) * unit
+    return np.cumsum(np.concatenate([first, deltas]), dtype=np.uint64).view(np.int64)
+
+
+def decode_clocks(data: bytes) -> list[int]:
+    return clock_array(data).tolist()
 
 
 def clock_count(data: bytes) -> int:
@@ -131,91 +162,116 @@ def clock_count(data: bytes) -> int:
     return (len(data) - 9) // 8 + 1 if scheme == RAW else 1 + packed_count(data[9:])
 
 
-def _zigzag(x: int) -> int:
-    x = (x + 2**63 & _MASK64) - 2**63  # wraps as 64-bit integers do
-    return (x << 1 ^ x >> 63) & _MASK64
-
-
-def _unzigzag(x: int) -> int:
-    return x >> 1 ^ -(x & 1)
-
-
-def encode_integers(values: list[int]) -> bytes:
-    if not values:
+def encode_integers(values: np.ndarray | list[int]) -> bytes:
+    x = np.asarray(values, np.int64)
+    if not len(x):
         return b""
-    codes = [_zigzag(values[0]), *(_zigzag(b - a) for a, b in zip(values, values[1:]))]
-    first = struct.pack(">Q", codes[0])
-    rest = codes[1:]
-    if len(rest) > 1 and len(set(rest)) == 1:
-        return bytes([RLE << 4]) + first + put_varint(rest[0]) + put_count(len(rest))
-    if rest and max(rest) > LARGEST_PACKED:
-        return bytes([RAW << 4]) + first + struct.pack(f">{len(rest)}Q", *rest)
+    d = np.concatenate([x[:1], np.diff(x)])  # wraps as 64-bit integers do
+    codes = ((d << 1) ^ (d >> 63)).view(np.uint64)
+    first, rest = codes[:1].astype(">u8").tobytes(), codes[1:]
+    if len(rest) > 1 and (rest == rest[0]).all():
+        return bytes([RLE << 4]) + first + put_varint(int(rest[0])) + put_count(len(rest))
+    if len(rest) and rest.max() > LARGEST_PACKED:
+        return bytes([RAW << 4]) + first + rest.astype(">u8").tobytes()
     return bytes([PACKED << 4]) + first + pack(rest)
 
 
-def decode_integers(data: bytes) -> list[int]:
+def integer_array(data: bytes) -> np.ndarray:
     if not data:
-        return []
-    (first,) = struct.unpack_from(">Q", data, 1)
+        return np.zeros(0, np.int64)
+    first = np.frombuffer(data[1:9], ">u8").astype(np.uint64)
     scheme = data[0] >> 4
     if scheme == RLE:
         code, at = get_varint(data, 9)
-        rest = [code] * get_count(data, at)[0]
+        rest = np.full(get_count(data, at)[0], code, np.uint64)
     else:
-        rest = [w for (w,) in struct.iter_unpack(">Q", data[9:])] if scheme == RAW else unpack(data[9:])
-    out = [_unzigzag(first)]
-    for c in rest:
-        x = out[-1] + _unzigzag(c)
-        out.append((x + 2**63 & _MASK64) - 2**63)
-    return out
+        rest = np.frombuffer(data[9:], ">u8").astype(np.uint64) if scheme == RAW else unpack(data[9:])
+    codes = np.concatenate([first, rest])
+    d = (codes >> np.uint64(1)) ^ (np.uint64(0) - (codes & np.uint64(1)))
+    return np.cumsum(d, dtype=np.uint64).view(np.int64)
+
 
+def decode_integers(data: bytes) -> list[int]:
+    return integer_array(data).tolist()
 
-def encode_doubles(values: list[float]) -> bytes:
+
+def encode_doubles(values: np.ndarray | list[float]) -> bytes:
     """XOR code; NaN ends the stream and cannot be a value."""
-    if any(v != v for v in values):
+    x = np.append(np.asarray(values, np.float64), np.nan)
+    if np.isnan(x[:-1]).any():
         raise ValueError("NaN is not stored")
-    words = np.array([*values, np.nan], np.float64).view(np.uint64).tolist()
-    bits = [f"{words[0]:064b}"]
+    words = x.view(np.uint64)
+    diff = words[1:] ^ words[:-1]
+    leading = np.minimum(31, 64 - bit_lengths(diff)).tolist()
+    trailing = (bit_lengths(diff & (np.uint64(0) - diff)) - 1).tolist()
+    # which values open a window of their own, and the window of each
     lead, trail = -1, 0
-    for a, b in zip(words, words[1:]):
-        x = a ^ b
-        if not x:
-            bits.append("0")
-            continue
-        leading, trailing = min(31, 64 - x.bit_length()), (x & -x).bit_length() - 1
-        if lead >= 0 and leading >= lead and trailing >= trail:
-            bits.append(f"10{x >> trail:0{64 - lead - trail}b}")
-        else:
-            lead, trail = leading, trailing
-            n = 64 - lead - trail
-            bits.append(f"11{lead:05b}{n & 63:06b}{x >> trail:0{n}b}")
-    text = "".join(bits)
-    text += "0" * (-len(text) % 8)
-    return bytes([PACKED << 4]) + int(text, 2).to_bytes(len(text) // 8, "big")
-
-
-def decode_doubles(data: bytes) -> list[float]:
+    new, leads, trails = [], [], []
+    for a, z in zip(leading, trailing, strict=True):
+        opens = z >= 0 and not (0 <= lead <= a and z >= trail)
+        if opens:
+            lead, trail = a, z
+        new.append(opens)
+        leads.append(lead)
+        trails.append(trail)
+    new, leads, trails = np.array(new, bool), np.array(leads, np.int64), np.array(trails, np.int64)
+    some = diff != 0
+    size = 64 - leads - trails
+    # two pieces for each value: what is said of its window, and its bits
+    said = np.where(new, (3 << 11) | (leads << 6) | (size & 63), np.where(some, 2, 0)).astype(np.uint64)
+    piece = np.stack([said, diff >> np.where(some, trails, 0).astype(np.uint64)], axis=1).ravel()
+    length = np.stack([np.where(new, 13, np.where(some, 2, 1)), np.where(some, size, 0)], axis=1).ravel()
+    nth = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    bits = (np.repeat(piece, length) >> (np.repeat(length, length) - 1 - nth).astype(np.uint64)) & np.uint64(1)
+    first = np.unpackbits(words[:1].astype(">u8").view(np.uint8))
+    return bytes([PACKED << 4]) + np.packbits(np.concatenate([first, bits.astype(np.uint8)])).tobytes()
+
+
+def double_array(data: bytes) -> np.ndarray:
     if not data:
-        return []
-    text = f"{int.from_bytes(data[1:], 'big'):0{8 * (len(data) - 1)}b}"
-    words = [int(text[:64], 2)]
-    at, lead, trail = 64, 0, 0
-    end = int(np.array([np.nan]).view(np.uint64)[0])
-    while words[-1] != end:
-        if text[at] == "0":
+        return np.zeros(0)
+    body = np.frombuffer(data[1:], np.uint8)
+    bits = np.unpackbits(body).tobytes()
+    first = np.frombuffer(data[1:9], ">u8").astype(np.uint64)
+    # where the bits of each value are; NaN ends the stream
+    starts, sizes, trails = [], [], []
+    at, lead, trail, total = 64, 0, 0, len(bits)
+    padded = np.concatenate([body, np.zeros(9, np.uint8)])
+    high = np.zeros(len(body) + 1, np.uint64)  # the 64 bits from each byte on
+    for k in range(8):
+        high |= padded[k : k + len(high)].astype(np.uint64) << np.uint64(56 - 8 * k)
+    whole = high.tolist()
+    while at < total:
+        if not bits[at]:
             at += 1
-            words.append(words[-1])
+            starts.append(0)
+            sizes.append(0)
+            trails.append(0)
             continue
-        if text[at + 1] == "1":
-            lead = int(text[at + 2 : at + 7], 2)
-            trail = 64 - lead - (int(text[at + 7 : at + 13], 2) or 64)
-            at += 13
+        if bits[at + 1]:
+            at += 2
+            said = whole[at >> 3] >> (53 - (at & 7)) & 2047
+            lead = said >> 6
+            trail = 64 - lead - ((said & 63) or 64)
+            at += 11
         else:
             at += 2
         n = 64 - lead - trail
-        words.append(words[-1] ^ int(text[at : at + n], 2) << trail)
+        starts.append(at)
+        sizes.append(n)
+        trails.append(trail)
         at += n
-    return np.array(words[:-1], np.uint64).view(np.float64).tolist()
+    start, size = np.array(starts, np.int64), np.array(sizes, np.int64)
+    byte = start >> 3
+    skip = (start & 7).astype(np.uint64)
+    window = (high[byte] << skip) | (padded[byte + 8].astype(np.uint64) >> (np.uint64(8) - skip))
+    value = np.where(size > 0, window >> np.where(size > 0, 64 - size, 0).astype(np.uint64), np.uint64(0)) << np.array(trails, np.uint64)
+    words = np.bitwise_xor.accumulate(np.concatenate([first, value]))
+    return words[: int(np.argmax(np.isnan(words.view(np.float64))))].view(np.float64)  # the bits that fill the last byte repeat NaN
+
+
+def decode_doubles(data: bytes) -> list[float]:
+    return double_array(data).tolist()
 
 
 def encode_booleans(values: list[bool]) -> bytes:
@@ -248,10 +304,10 @@ def decode_strings(data: bytes) -> list[str]:
 
 
 ENCODE = {model.DOUBLE: encode_doubles, model.INTEGER: encode_integers, model.BOOLEAN: encode_booleans, model.STRING: encode_strings}
-DECODE = {model.DOUBLE: decode_doubles, model.INTEGER: decode_integers, model.BOOLEAN: decode_booleans, model.STRING: decode_strings}
+DECODE = {model.DOUBLE: double_array, model.INTEGER: integer_array, model.BOOLEAN: decode_booleans, model.STRING: decode_strings}
 
 
-def encode_block(tag: int, clocks: list[int], values: list, quality: list[int]) -> bytes:
+def encode_block(tag: int, clocks: np.ndarray | list[int], values: np.ndarray | list, quality: np.ndarray | list[int]) -> bytes:
     streams = (encode_clocks(clocks), ENCODE[tag](values), encode_integers(quality))
     return bytes([tag]) + b"".join(put_count(len(s)) + s for s in streams)
 
@@ -265,11 +321,19 @@ def split_block(block: bytes) -> tuple[int, bytes, bytes, bytes]:
     return block[0], *out
 
 
+def block_arrays(block: bytes, lo: int | None = None, hi: int | None = None) -> tuple[np.ndarray, np.ndarray | list, np.ndarray]:
+    """Clocks, values and quality of a block, or of the inclusive range in it."""
+    tag, clocks, values, quality = split_block(block)
+    clock = clock_array(clocks)
+    a = 0 if lo is None else int(np.searchsorted(clock, lo, "left"))
+    z = len(clock) if hi is None else int(np.searchsorted(clock, hi, "right"))
+    return clock[a:z], DECODE[tag](values)[a:z], integer_array(quality)[a:z]
+
+
 def decode_block(block: bytes, lo: int | None = None, hi: int | None = None) -> list[tuple[int, object, int]]:
     """(clock, value, quality) of a block, or of the inclusive range in it."""
-    tag, clocks, values, quality = split_block(block)
-    rows = zip(decode_clocks(clocks), DECODE[tag](values), decode_integers(quality), strict=True)
-    return [r for r in rows if (lo is None or r[0] >= lo) and (hi is None or r[0] <= hi)]
+    clock, value, quality = block_arrays(block, lo, hi)
+    return list(zip(clock.tolist(), value.tolist() if isinstance(value, np.ndarray) else value, quality.tolist(), strict=True))
 
 
 def block_count(block: bytes) -> int:

@@ -68,3 +68,8 @@ def test_corpus(spark, library):
     assert len(found) == 6 and all(want[k] == v for k, v in found)
     assert dict(rows(bpe.token_counts(df.filter("doc_id is not null")))) == {k: len(v) for k, v in want.items() if k}
     assert bpe.encode_corpus(df.limit(0)).collect() == []
+
+
+def test_round_trip(spark):
+    docs = spark.createDataFrame([(1, "Hello  wörld\r\n\t<|endoftext|> 温度 🙂"), (2, None), (3, ""), (1, "\u0000​ x")], "doc_id bigint, text string")
+    assert sorted(map(tuple, bpe.round_trip(docs).collect())) == [(1, True), (1, True), (2, True), (3, True)]

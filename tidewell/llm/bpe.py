@@ -14,7 +14,7 @@ import json
 import os
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain, islice
 
 import numpy as np
@@ -61,6 +61,7 @@ class PairBPE:
         self.rank: dict[int, int] = {}
         for r, (a, b) in enumerate(zip(self.left, self.right, strict=True)):
             self.rank.setdefault(a * PAIR + b, r)
+        self.vocab = vocab
         self.split = regex.compile(SPLIT).findall
         self.words: dict[str, tuple[int, ...]] = {}
 
@@ -139,6 +140,13 @@ class PairBPE:
             known.clear()
         return out
 
+    @cached_property
+    def bytes_of(self) -> dict[int, bytes]:
+        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        return {i: bytes(byte_of[c] for c in t) for t, i in self.vocab.items() if all(c in byte_of for c in t)}
+
+    def decode(self, ids: Iterable[int]) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
     def encode_long(self, text: str) -> list[int]:
         """A very long text, some words at a time."""
@@ -168,7 +176,9 @@ def encoder(name: str, folder: str = TOKENIZERS) -> Callable[[Iterable[str | Non
     if os.path.exists(f"{path}.json"):
         with open(f"{path}.json", encoding="utf-8") as f:
             head = json.load(f)
-        if (head.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not head.get("normalizer"):
+        pre = head.get("pre_tokenizer") or {}
+        # the split that PairBPE makes: the usual pattern, and no space in front of a text
+        if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not head.get("normalizer"):
             return PairBPE(f"{path}.json").encode
         from tokenizers import Tokenizer
 
@@ -249,3 +259,19 @@ def token_counts(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder:
 
     out = spread(documents.selectExpr(f"cast(`{key}` as bigint) as key", f"`{text}` as text")).mapInArrow(run, "key bigint, n_tokens bigint")
     return out.withColumnRenamed("key", key)
+
+
+def round_trip(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, same): whether the ids of a text, read back, give the text; a null text counts as empty. For vocabularies that
+    PairBPE encodes."""
+    schema = pa.schema([("key", pa.int64()), ("same", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer, folder)
+        for b in batches:
+            for at, texts in text_pieces(b, "text"):
+                same = [encode.__self__.decode(ids) == (t or "") for ids, t in zip(encode(texts), texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("key").slice(at, len(texts)), pa.array(same, pa.bool_())], schema=schema)
+
+    out = spread(documents.selectExpr(f"cast(`{key}` as bigint) as key", f"`{text}` as text")).mapInArrow(run, "key bigint, same boolean")
+    return out.withColumnRenamed("key", key)

@@ -39,6 +39,10 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_ranks": p1_ranks,
     "p4_found": p4_found,
     "p7_ids": p7_ids,
+    "p7_round_trip": p7_round_trip,
     "p8_containers": p8_containers,
     "p8_check": p8_check,
     "p9_found": p9_found,
@@ -83,6 +88,7 @@ SQL: dict[str, str] = {
     "p1_daily": ABOVE,
     "p1_ranks": f"""with cur as (
   {CURRENT}), n as (select count(distinct sid) n from cur) select pct::int pct, n n_sids, n n_within from n, (values (50), (90), (99)) t(pct)""",
+    "p7_round_trip": "select doc_id, true as same from documents",
     "p8_check": """select pack_id, (select count(distinct doc_id) from documents) documents, (select count(*) from documents) rows_of_documents, 0::bigint overfull, 0::bigint broken, true tight
 from pack_sizes""",
     "p4_found": """with cur as (select sid,clock,value,seq from points_bool where value is not null qualify row_number() over (partition by sid,clock order by seq desc)=1),

@@ -162,12 +162,20 @@ def clock_count(data: bytes) -> int:
     return (len(data) - 9) // 8 + 1 if scheme == RAW else 1 + packed_count(data[9:])
 
 
+def zigzag_codes(x: np.ndarray) -> np.ndarray:
+    return ((x << 1) ^ (x >> 63)).view(np.uint64)
+
+
+def _zigzag(x: int) -> int:
+    return int(zigzag_codes(np.array([x], np.int64))[0])
+
+
 def encode_integers(values: np.ndarray | list[int]) -> bytes:
     x = np.asarray(values, np.int64)
     if not len(x):
         return b""
     d = np.concatenate([x[:1], np.diff(x)])  # wraps as 64-bit integers do
-    codes = ((d << 1) ^ (d >> 63)).view(np.uint64)
+    codes = zigzag_codes(d)
     first, rest = codes[:1].astype(">u8").tobytes(), codes[1:]
     if len(rest) > 1 and (rest == rest[0]).all():
         return bytes([RLE << 4]) + first + put_varint(int(rest[0])) + put_count(len(rest))

@@ -54,15 +54,17 @@ def rolling_totals(daily: DataFrame, periods: tuple[int, ...] = (7, 30)) -> Data
 
     daily: sid, day_no, total, n, one row for each active day; an empty table gives no rows.
     """
-    span = daily.groupBy("sid").agg(F.min("day_no").alias("a"), F.max("day_no").alias("z"))
-    calendar = span.select("sid", F.explode(F.sequence("a", "z")).alias("day_no"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("calendar"))
-    both = daily.select("sid", "day_no", "total", "n", F.lit(False).alias("calendar")).unionByName(calendar)
-    out = both
+    # each active day stands for itself and the inactive days up to the next one; the daily totals are read once
+    until = F.coalesce(F.lead("day_no").over(Window.partitionBy("sid").orderBy("day_no")) - 1, F.col("day_no"))
+    spans = daily.select("sid", F.col("day_no").alias("active"), "total", "n", until.alias("until"))
+    days = spans.select("sid", "active", "total", "n", F.explode(F.sequence("active", F.greatest("active", "until"))).alias("day_no"))
+    own = F.col("day_no") == F.col("active")
+    out = days.select("sid", "day_no", F.when(own, F.col("total")).otherwise(0.0).alias("total"), F.when(own, F.col("n")).otherwise(0).alias("n"))
     for p in periods:
         frame = Window.partitionBy("sid").orderBy("day_no").rangeBetween(1 - p, 0)
         total = F.sum("total").over(frame)
         out = out.withColumns({f"total_{p}": total, f"avg_{p}": total / F.lit(float(p)), f"days_{p}": F.sum((F.col("n") > 0).cast("int")).over(frame)})
-    return out.filter("calendar").drop("calendar", "total", "n")
+    return out.drop("total", "n")
 
 
 def rising_days(points: DataFrame, registry: DataFrame, factor: float = 2.0, least_days: int = 20, **options) -> DataFrame:

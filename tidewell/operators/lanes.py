@@ -12,7 +12,8 @@ the tag CONFIG, so neither a broadcast nor a second, skewed join on sid is neede
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
@@ -50,13 +51,20 @@ def checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared_folder(spark))
 
 
+#: The folder of a local session that names none; deleted at the end of the program.
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    return os.path.join(tempfile.gettempdir(), "tidewell-checkpoints")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="tidewell-"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+    return _own_folder[0]
 
 
 def live(points: DataFrame, value: str = "value") -> DataFrame:

@@ -89,8 +89,8 @@ def fit(labelled: Iterable[tuple[str, str | None]]) -> Languages | None:
 def labelled_sample(documents: DataFrame, most: int = MOST_LABELLED, longest: int = LONGEST_LABELLED) -> list[tuple[str, str | None, str | None]]:
     """(text, lang, source) of about ``most`` documents at most, in the order of their key; null columns where the table has none."""
     column = lambda c: F.col(c).cast("string") if c in documents.columns else F.lit(None).cast("string")
-    rows = documents.select("doc_id", F.col("text"), column("lang").alias("lang"), column("source").alias("source")).filter(F.col("text").isNotNull())
-    n = rows.count()
+    rows = documents.select("doc_id", F.col("text"), column("lang").alias("lang"), column("source").alias("source"))
+    n = documents.count()
     if n > most:
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < most)
-    return [(r.text, r.lang, r.source) for r in rows.filter(F.length("text") <= longest).orderBy("doc_id", "text").collect()]
+    return [(r.text, r.lang, r.source) for r in rows.filter(F.col("text").isNotNull() & (F.length("text") <= longest)).orderBy("doc_id", "text").collect()]

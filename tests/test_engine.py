@@ -36,6 +36,14 @@ def test_codes(spark):
         assert r.v == len(codecs.put_varint(u))
 
 
+def test_varint_of_a_cube(spark):
+    """Cubes beyond 64 bits too, at both sides of every step in size."""
+    near = {round(2 ** (7 * n / 3)) + k for n in range(1, 15) for k in (-1, 0, 1)}
+    xs = sorted(x for x in near | {0, 2**21 - 1, 2**21, 5_999_999, 2**42, 2**63 - 1})
+    got = spark.createDataFrame([(x,) for x in [*xs, None]], "x bigint").select("x", codes.varint_size_of_cube(F.col("x")).alias("v")).collect()
+    assert {r.x: r.v for r in got} == {x: len(codecs.put_varint(x**3)) for x in xs} | {None: None}
+
+
 # ---- model
 def test_quarantine(spark):
     df = spark.createDataFrame([(1, 5, 1.0), (1, 6, float("nan")), (1, 7, None), (None, 8, 1.0), (1, None, 1.0), (1, -1, 1.0), (1, 9, float("inf"))], "sid bigint, clock bigint, value double")

@@ -3,6 +3,7 @@
 import os
 import zlib
 
+import duckdb
 import pytest
 
 import __spark_entry__
@@ -41,3 +42,16 @@ def test_infinite_readings_are_downsampled(spark, tmp_path, name):
     spark.createDataFrame(data, "sid bigint, clock bigint, value double, quality int, seq bigint").write.parquet(str(tmp_path / "points_double.parquet"))
     got = {r.interval_start: (r.value, r.n_points) for r in engine.QUERIES[f"ext_downsample_{name}_all"](spark, str(tmp_path)).collect()}
     assert got == {0: (inf if name in ("maximum", "first") else -inf, 3), day: (inf, 1)}
+
+
+def test_varint_sizes_of_many_events(spark, tmp_path):
+    """Ids whose cubes are no longs, as 6,000,000 events have; the SQL of varint_sizes reaches ids below 2,097,152."""
+    ids = [None, -3, 0, 5, 6, 25, 26, 127, 128, 645, 646, 3250, 3251, 16383, 16384, 99_999, 2_097_151, 2_097_152, 5_999_999, 10**12]
+    spark.createDataFrame([(x,) for x in ids], "event_id bigint").write.parquet(str(tmp_path / "events.parquet"))
+    got = {n: {r.seq: r.n_bytes for r in engine.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("varint_sizes", "varint_sizes_all")}
+    db = duckdb.connect()
+    rows = lambda name, where: dict(db.sql(engine.SQL[name].replace("from events", f"from (select * from '{tmp_path}/events.parquet/*.parquet' where {where})")).fetchall())
+    low = rows("varint_sizes", "event_id is null or event_id < 2097152")
+    assert got["varint_sizes"] == low | dict.fromkeys((2_097_152, 5_999_999, 10**12), 6)
+    assert got["varint_sizes_all"] == rows("varint_sizes_all", "true")
+    assert got["varint_sizes_all"][5_999_999] == 10
